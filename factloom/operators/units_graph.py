@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain, squash
+from ..session import cut
 from .skew import salted_join
 
 #: Standard spellings (lower case, without dots) of the codes in unit lists.
@@ -131,7 +132,7 @@ def solve_spellings(edges: DataFrame, units: DataFrame) -> tuple[DataFrame, Data
     for _ in range(ROUNDS):
         whole = _majority(same.join(known, ["w", "slot"]), "w_raw", "slot").select("w_raw", "slot", "code")
         learnt = _majority(same.join(whole, ["w_raw", "slot"]), "w", "slot").select("w", "slot", "code")
-        known = fixed.unionByName(learnt.join(fixed, ["w", "slot"], "left_anti"))
+        known = cut(fixed.unionByName(learnt.join(fixed, ["w", "slot"], "left_anti")))
     return known, whole
 
 
@@ -168,7 +169,7 @@ def _take_apart(vocabulary: dict[str, list[tuple[str, str]]]):
 
 def meanings(claims: DataFrame, wordings: DataFrame, units: DataFrame) -> DataFrame:
     """(w, unit, currency, scale): the codes of each distinct wording of ``wordings(w)``."""
-    edges = spelling_edges(claims, units)
+    edges = cut(spelling_edges(claims, units))
     known, whole = solve_spellings(edges, units)
     total = claims.agg(F.count("*")).scalar()
     support = edges.groupBy("w", "slot").agg(F.sum("n").alias("n")).filter((F.col("n") >= 2) & (F.col("n") > total * LEAST_SHARE))
@@ -204,10 +205,11 @@ def to_common_units(facts: DataFrame, blocks: DataFrame, units: DataFrame) -> Da
     cited = needy.join(text, "block_id").select(
         "id", stated(F.expr("substring(text, char_start + 1, char_end - char_start + 1)")).alias("w_block")
     ).filter("w_block is not null")
-    c = c.drop("block_id", "quote").join(cited, "id", "left")
+    # read several times below: only ids, numbers and wordings are kept
+    c = cut(c.drop("block_id", "quote", "char_start", "char_end").join(cited, "id", "left"))
     every = [*names, "w_quote", "w_block"]
     each = c.select(F.explode(F.array(*every)).alias("w")).filter("w is not null").distinct()
-    table = meanings(claims, each, units)
+    table = cut(meanings(c, cut(each), units))
     facts_units = units.select("unit", "common_unit", "factor")
     long = c.select("id", "number", F.posexplode(F.array(*every)).alias("source", "w")).filter("w is not null")
     m = salted_join(long, table, "w", spread="id")
