@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import compat, slug, squash
+from .text import compat, let, slug, squash
 from .units import lookup
 
 #: Canonical id and its known spellings.
@@ -48,14 +48,13 @@ def _py_entity_key(s: str) -> str:
 def canonical_entity(form: Column, doc_subject: Column | None = None, aliases: Mapping[str, list[str]] = ENTITY_ALIASES) -> Column:
     """Alias id, else slug. "the/your/our company" gives ``doc_subject``'s id, or
     ``unknown_self_reference`` where none is known. Null gives null, blank gives ``unknown``."""
-    key = entity_key(form)
-    known = F.coalesce(lookup(_alias_map(aliases, _py_entity_key), key), slug(key))
     if doc_subject is None:
         own = F.lit("unknown_self_reference")
     else:
         subject = F.when(doc_subject.isin(list(aliases)), doc_subject).otherwise(canonical_entity(doc_subject, None, aliases))
         own = F.coalesce(subject, F.lit("unknown_self_reference"))
-    return F.when(key.isin(SELF_REFERENCES), own).otherwise(known)
+    known = lambda key: F.coalesce(lookup(_alias_map(aliases, _py_entity_key), key), slug(key))
+    return let(entity_key(form), lambda key: F.when(key.isin(SELF_REFERENCES), own).otherwise(known(key)))
 
 
 def measure_key(form: Column) -> Column:
@@ -68,8 +67,7 @@ def _measure_aliases() -> dict[str, str]:
 
 def canonical_measure(form: Column) -> Column:
     """Alias id, else slug; null gives null, blank gives ``unknown_measure``."""
-    key = measure_key(form)
-    return F.coalesce(lookup(_measure_aliases(), key), slug(key, "unknown_measure"))
+    return let(measure_key(form), lambda key: F.coalesce(lookup(_measure_aliases(), key), slug(key, "unknown_measure")))
 
 
 def aliased_not_identical(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
 from .units import lookup
 
 #: Names used by the grammar.
@@ -28,30 +29,35 @@ def _g(text: Column, pattern: str, n: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
 
-def _span(start: Column, end: Column, basis) -> Column:
-    basis = F.lit(basis) if isinstance(basis, str) else basis
-    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end"), basis.alias("basis")))
+def _part(at: Column, months: int | Column, basis: str) -> Column:
+    """A period before its ends are worked out: whole months from ``at``; none: the day ``at``; below none:
+    that many months up to ``at``."""
+    n = F.lit(months) if isinstance(months, int) else months
+    return F.when(at.isNotNull() & n.isNotNull(), F.struct(at.alias("at"), n.alias("n"), F.lit(basis).alias("basis")))
 
 
 def fiscal_year(y: Column) -> Column:
-    return _span(_ymd(y, F.lit(4), F.lit(1)), _ymd(y + 1, F.lit(3), F.lit(31)), "FY_IN")
+    return _part(_ymd(y, F.lit(4), F.lit(1)), 12, "FY_IN")
 
 
 def calendar_year(y: Column) -> Column:
-    return _span(_ymd(y, F.lit(1), F.lit(1)), _ymd(y, F.lit(12), F.lit(31)), "CY")
-
-
-def _quarter(start: Column) -> Column:
-    return _span(start, F.last_day(F.add_months(start, 2)), "QUARTER")
+    return _part(_ymd(y, F.lit(1), F.lit(1)), 12, "CY")
 
 
 def fiscal_quarter(y: Column, q: Column) -> Column:
     """Quarter ``q`` of the fiscal year that starts in April of ``y``."""
-    return _quarter(F.add_months(_ymd(y, F.lit(4), F.lit(1)), ((q - 1) * 3).cast("int")))
+    return _part(F.add_months(_ymd(y, F.lit(4), F.lit(1)), ((q - 1) * 3).cast("int")), 3, "QUARTER")
 
 
 def calendar_quarter(y: Column, q: Column) -> Column:
-    return _quarter(F.add_months(_ymd(y, F.lit(1), F.lit(1)), ((q - 1) * 3).cast("int")))
+    return _part(F.add_months(_ymd(y, F.lit(1), F.lit(1)), ((q - 1) * 3).cast("int")), 3, "QUARTER")
+
+
+def _ends(p: Column) -> Column:
+    start = F.when(p["n"] < 0, F.trunc(F.add_months(p["at"], p["n"] + 1), "MM")).otherwise(p["at"])
+    end = F.when(p["n"] > 0, F.last_day(F.add_months(p["at"], p["n"] - 1))).otherwise(p["at"])
+    basis = F.when((p["n"] < 0) & (F.month(start) != 4), "CY").otherwise(p["basis"])
+    return F.when(p.isNotNull(), F.struct(start.alias("start"), end.alias("end"), basis.alias("basis")))
 
 
 def parse_date(text: Column) -> Column:
@@ -89,21 +95,17 @@ def parse_period(expr: Column) -> Column:
         (p10, fiscal_year(yy(p10, 1))),
         (p11, calendar_year(num(p11, 1))),
     ]
-    end = parse_date(_g(t, _MONTHS_ENDED, 2))
     count = F.lower(_g(t, _MONTHS_ENDED, 1))
     n = F.coalesce(count.try_cast("int"), lookup(COUNTS, count))
-    start = F.trunc(F.add_months(end, -(n - 1)), "MM")
-    basis = F.when((F.month(start) == 4) & (F.dayofmonth(start) == 1), "FY_IN").otherwise("CY")
-    at, bare = parse_date(_g(t, _AS_OF, 1)), parse_date(t)
     rules += [
-        (_MONTHS_ENDED, _span(start, end, basis)),
-        (_AS_OF, _span(at, at, "FY_IN")),
+        (_MONTHS_ENDED, _part(parse_date(_g(t, _MONTHS_ENDED, 2)), -n, "FY_IN")),
+        (_AS_OF, _part(parse_date(_g(t, _AS_OF, 1)), 0, "FY_IN")),
         (p14, fiscal_year(num(p14, 1))),
     ]
-    out = _span(bare, bare, "FY_IN")
+    out = _part(parse_date(t), 0, "FY_IN")
     for pattern, value in reversed(rules):
         out = F.when(t.rlike(pattern), value).otherwise(out)
-    return out
+    return let(out, _ends)
 
 
 def _iso(c: Column) -> Column:
@@ -112,14 +114,12 @@ def _iso(c: Column) -> Column:
 
 def fact_period(qualifiers: Column) -> Column:
     """STRUCT(start, end) of a fact: its date, else both period ends, else its label; bad text falls through."""
-    day = _iso(qualifiers["date"])
-    start, end = _iso(qualifiers["period_start"]), _iso(qualifiers["period_end"])
-    label = parse_period(qualifiers["period_label"])
     pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    return (
-        F.when(day.isNotNull(), pair(day, day))
-        .when(start.isNotNull() & end.isNotNull(), pair(start, end))
-        .otherwise(pair(label["start"], label["end"]))
+    both = pair(_iso(qualifiers["period_start"]), _iso(qualifiers["period_end"]))
+    return F.coalesce(
+        let(_iso(qualifiers["date"]), lambda d: F.when(d.isNotNull(), pair(d, d))),
+        let(both, lambda p: F.when(p["start"].isNotNull() & p["end"].isNotNull(), p)),
+        let(parse_period(qualifiers["period_label"]), lambda p: pair(p["start"], p["end"])),
     )
 
 

@@ -34,17 +34,9 @@ HYPHENS = "‐‑"
 LIGATURES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)}
 
 
-def _marks() -> dict[str, str]:
-    """Letter + combining mark -> the composed Latin letter, by rule, for the marks met in names."""
-    out = {}
-    for cp in range(0xC0, 0x250):
-        d = unicodedata.normalize("NFD", chr(cp))
-        if len(d) == 2 and d[1] in "̧̀́̂̃̈̊̌":
-            out[d] = chr(cp)
-    return out
-
-
-COMPOSED = _marks()
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def squash(c: Column) -> Column:
@@ -55,8 +47,8 @@ def squash(c: Column) -> Column:
 def plain(c: Column) -> Column:
     """Visually equal text in one spelling: full-width, look-alikes, ligatures, odd spaces, hidden marks.
 
-    Case, accents and punctuation stay. Decomposed accents are left for ``compose``. Null gives null,
-    empty gives empty.
+    Case, accents and punctuation stay; decomposed accents are not composed. Null gives null, empty
+    gives empty.
     """
     pairs = {**LOOKALIKES, **WIDE, **{s: " " for s in SPACES}, **{h: "-" for h in HYPHENS}}
     # characters of the source list beyond the target list are deleted
@@ -66,14 +58,6 @@ def plain(c: Column) -> Column:
     return c
 
 
-def compose(c: Column) -> Column:
-    """Canonical composition of Latin letters with one mark; rows without marks skip the work."""
-    done = c
-    for pair, one in COMPOSED.items():
-        done = F.replace(done, F.lit(pair), F.lit(one))
-    return F.when(c.rlike("[̀-ͯ]"), done).otherwise(c)
-
-
 def compat(c: Column) -> Column:
     """The part of compatibility folding that a column expression can state: full-width forms,
     compatibility spaces, super-script digits, ligatures and the ellipsis. Hidden characters stay."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Scale words, their name and multiplier.
 SCALE_NAMES = {
     "thousand": "thousand", "k": "thousand", "lakh": "lakh", "million": "million", "mn": "million",
@@ -28,8 +30,12 @@ def lookup(table: dict, key: Column) -> Column:
 def parse_number(raw: Column) -> Column:
     """The first number of the text: both brackets mean minus, commas are dropped; none gives null."""
     token = F.nullif(F.regexp_extract(raw, NUMBER, 0), F.lit(""))
-    value = F.regexp_replace(token, "[(),]", "").try_cast("double")
-    return F.when(token.contains("(") & token.contains(")"), -value).otherwise(value)
+
+    def signed(t: Column) -> Column:
+        value = F.regexp_replace(t, "[(),]", "").try_cast("double")
+        return value * F.when(t.contains("(") & t.contains(")"), -1.0).otherwise(1.0)
+
+    return let(token, signed)
 
 
 def normalize_value(raw: Column) -> Column:
@@ -37,35 +43,44 @@ def normalize_value(raw: Column) -> Column:
 
     A per cent sign decides first: multiplier 1, no currency. Null or numberless text gives null.
     """
-    number, percent = parse_number(raw), raw.rlike(PERCENT)
     currency = F.lit(None).cast("string")
     for pattern, code in reversed(CURRENCIES):
         currency = F.when(raw.rlike(pattern), code).otherwise(currency)
+    percent = raw.rlike(PERCENT)
     word = F.nullif(F.lower(F.regexp_extract(raw, SCALE, 1)), F.lit(""))
     scale = F.when(percent, "percent").otherwise(lookup(SCALE_NAMES, word))
-    multiplier = F.when(percent, 1.0).otherwise(F.coalesce(lookup(MULTIPLIERS, lookup(SCALE_NAMES, word)), F.lit(1.0)))
-    return F.when(
-        number.isNotNull(),
-        F.struct(
-            raw.alias("raw"), number.alias("number"), scale.alias("scale"), multiplier.alias("scale_multiplier"),
-            F.when(~percent, currency).alias("currency"), (number * multiplier).alias("base_value"),
-        ),
-    )
+    parsed = F.struct(parse_number(raw).alias("number"), scale.alias("scale"), currency.alias("currency"))
+
+    def full(p: Column) -> Column:
+        multiplier = F.coalesce(lookup(MULTIPLIERS, p["scale"]), F.lit(1.0))
+        own = F.when(~p["scale"].eqNullSafe(F.lit("percent")), p["currency"])
+        return F.when(
+            p["number"].isNotNull(),
+            F.struct(
+                raw.alias("raw"), p["number"].alias("number"), p["scale"].alias("scale"), multiplier.alias("scale_multiplier"),
+                own.alias("currency"), (p["number"] * multiplier).alias("base_value"),
+            ),
+        )
+
+    return let(parsed, full)
 
 
 def effective_value(raw: Column, scale: Column, currency: Column) -> Column:
     """``normalize_value`` with the fact's own scale and currency where the text names none."""
-    v = normalize_value(raw)
     own = F.nullif(F.lower(F.trim(scale)), F.lit(""))
-    use_own = v["scale"].isNull() & (F.coalesce(scale, F.lit("")) != "")
     own_multiplier = F.coalesce(lookup({k: MULTIPLIERS[n] for k, n in SCALE_NAMES.items()}, own), F.lit(1.0))
-    multiplier = F.when(use_own, own_multiplier).otherwise(v["scale_multiplier"])
-    return F.when(
-        v.isNotNull(),
-        F.struct(
-            v["number"].alias("number"),
-            F.when(use_own, F.lower(F.trim(scale))).otherwise(v["scale"]).alias("scale"),
-            F.coalesce(v["currency"], F.nullif(F.upper(F.trim(currency)), F.lit(""))).alias("currency"),
-            (v["number"] * multiplier).alias("base_value"),
-        ),
-    )
+
+    def fill(v: Column) -> Column:
+        use_own = v["scale"].isNull() & (F.coalesce(scale, F.lit("")) != "")
+        multiplier = F.when(use_own, own_multiplier).otherwise(v["scale_multiplier"])
+        return F.when(
+            v.isNotNull(),
+            F.struct(
+                v["number"].alias("number"),
+                F.when(use_own, F.lower(F.trim(scale))).otherwise(v["scale"]).alias("scale"),
+                F.coalesce(v["currency"], F.nullif(F.upper(F.trim(currency)), F.lit(""))).alias("currency"),
+                (v["number"] * multiplier).alias("base_value"),
+            ),
+        )
+
+    return let(normalize_value(raw), fill)

@@ -48,42 +48,42 @@ def wording(text: Column) -> Column:
     return F.nullif(squash(F.lower(F.replace(plain(text), F.lit("."), F.lit("")))), F.lit(""))
 
 
-def _number(text: Column) -> Column:
-    """The signed first number; brackets or a leading minus mean minus."""
-    token = F.nullif(F.regexp_extract(text, _NUMBER, 0), F.lit(""))
+def _number(token: Column) -> Column:
+    """The signed number of a token; brackets or a leading minus mean minus."""
     value = F.regexp_replace(token, r"[^\d.]", "").try_cast("decimal(24,6)")
     return F.when(token.rlike("[-−]") | (token.contains("(") & token.contains(")")), -value).otherwise(value)
 
 
+_STATED = (
+    r"(?i)\ball figures in\s+(.+?)\s+-(?:\s|[.!?]|$)"
+    r"|\(in\s+((?:[^()]|\([^()]*\))+)\)"
+    r"|\[\s*([^\]\[]*[^\]\[\d\s][^\]\[]*)\]"
+)
+
+
 def stated(sentence: Column) -> Column:
     """The unit wording that a sentence names apart from its number: ``(in X)``, ``[X]`` or
     ``all figures in X``; brackets that hold only a number (foot notes) name none."""
-    s = plain(sentence)
-    hit = lambda p: F.nullif(F.regexp_extract(s, p, 1), F.lit(""))
-    return wording(
-        F.coalesce(
-            hit(r"(?i)\ball figures in\s+(.+?)\s+-(?:\s|[.!?]|$)"),
-            hit(r"(?i)\(in\s+((?:[^()]|\([^()]*\))+)\)"),
-            hit(r"\[\s*([^\]\[]*[^\]\[\d\s][^\]\[]*)\]"),
-        )
-    )
+    return wording(F.regexp_replace(F.regexp_extract(plain(sentence), _STATED, 0), r"(?i)^all figures in\s+|^\(in\s+|^\[|\s+-[\s.!?]*$|[\])]$", ""))
 
 
 def _claims(facts: DataFrame) -> DataFrame:
-    raw = squash(plain(F.col("value_raw")))
-    return facts.filter(F.col("fact_type") == "numeric").select(
-        "id",
-        "block_id",
-        F.coalesce(_number(raw), F.col("value_number").try_cast("decimal(24,6)")).alias("number"),
-        F.col("value_number").alias("given"),
-        wording(F.regexp_replace(F.regexp_replace(raw, "^(.*?)" + _NUMBER, "$1 "), "^null$", "")).alias("w_raw"),
-        wording(F.col("value_unit")).alias("w_unit"),
-        wording(F.col("value_currency")).alias("w_currency"),
-        wording(F.col("value_scale")).alias("w_scale"),
-        "quote",
-        "char_start",
-        "char_end",
+    """Each step of the parse is a projection of its own, so no part of it is worked out twice."""
+    f = facts.filter("fact_type = 'numeric'").select(
+        "id", "block_id", "quote", "char_start", "char_end", F.col("value_number").alias("given"),
+        squash(plain(F.col("value_raw"))).alias("raw"),
+        *[wording(F.col(f"value_{s}")).alias(f"w_{s}") for s in ("unit", "currency", "scale")],
+    )
+    f = f.withColumn("token", F.nullif(F.regexp_extract("raw", _NUMBER, 0), F.lit("")))
+    at = F.instr("raw", F.col("token"))
+    around = F.concat(F.expr("substring(raw, 1, instr(raw, token) - 1)"), F.lit(" "), F.expr("substring(raw, instr(raw, token) + length(token))"))
+    f = f.withColumns(
+        {
+            "number": F.coalesce(_number(F.col("token")), F.col("given").try_cast("decimal(24,6)")),
+            "w_raw": wording(F.when(F.col("token").isNull(), F.col("raw")).when(at > 0, around)),
+        }
     )
+    return f.drop("raw", "token")
 
 
 def _anchors(units: DataFrame) -> DataFrame:

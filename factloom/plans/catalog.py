@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals, units_graph
 from ..sources.tables import blocks, facts, table
+from . import ledger_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,11 +42,11 @@ _ISLANDS = """
 
 def queries() -> dict[str, Query]:
     qs = [p3_found, p5_found, p5_periods]
-    return {q.__name__: q for q in qs}
+    return ledger_queries.QUERIES | {q.__name__: q for q in qs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return ledger_queries.SQL | {
         "p5_found": _ISLANDS
         + "SELECT loose_key, strftime(reach, '%Y-%m-%d') AS gap_start, strftime(s, '%Y-%m-%d') AS gap_end FROM m WHERE reach < s",
         "p5_periods": _ISLANDS
