@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compose, plain, squash
+from ..functions.text import squash
 from ..operators.skew import salted_join
 from ..session import cut
+from .unify import unify
 
 #: Least similarity of a match.
 THRESHOLD = 0.4
@@ -41,8 +42,8 @@ SHORT_WORDS = {
 
 
 def bare(form: Column) -> Column:
-    """A wording without look-alikes, case, foot-note marks, qualifiers and list prefixes; "X, Y" reads "Y X"."""
-    c = F.lower(compose(plain(form)))
+    """A unified wording without case, foot-note marks, qualifiers and list prefixes; "X, Y" reads "Y X"."""
+    c = F.lower(form)
     c = F.regexp_replace(c, r"[*^#¹²³†‡]|\[[^\]]*\]?", " ")
     c = F.regexp_replace(F.replace(c, F.lit("_"), F.lit(" ")), r"\((?:[a-z](?:\s*\+\s*[a-z])*|note\b[^)]*|net|consolidated|standalone|group)\)", " ")
     c = F.regexp_replace(c, r"\((?:note|ne|net|cons|stand)\w*\W*$", " ")
@@ -102,9 +103,9 @@ def closest(forms: DataFrame, entries: DataFrame, threshold: float = THRESHOLD)
     smaller entry id. Null and blank forms give no row. ``forms`` must be distinct.
     """
     stems = _stems(entries)
-    entry_rows = entries.filter("label is not null").select("entry", bare(F.col("label")).alias("b")).distinct()
+    entry_rows = entries.filter("label is not null").select("entry", unify("label").alias("u")).select("entry", bare(F.col("u")).alias("b")).distinct()
     entry_sets = entry_rows.select(F.struct("entry", "b").alias("k"), tokens(F.col("b")).alias("t"))
-    cleaned = forms.filter("form is not null").select("form", bare(F.col("form")).alias("b")).filter("b <> ''")
+    cleaned = forms.filter("form is not null").select("form", unify("form").alias("u")).select("form", bare(F.col("u")).alias("b")).filter("b <> ''")
     cleaned = cut(cleaned)
     form_sets = cut(cleaned.select("b").distinct().select(F.col("b").alias("k"), tokens(F.col("b"), stems).alias("t")))
     counts = form_sets.select(F.explode("t").alias("g")).groupBy("g").agg(F.count("*").alias("f"))

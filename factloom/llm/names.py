@@ -19,9 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compose, plain, squash
+from ..functions.text import squash
 from ..operators.skew import salted_join
 from ..session import cut
+from .unify import unify
 
 #: Common English and Indian short names and the full name.
 NICKNAMES = {
@@ -141,7 +142,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parse_forms(facts: DataFrame) -> DataFrame:
     """(form, n facts, kind, key, short rewritings) of each distinct spelling of ``facts(subject_surface_form, subject_type)``."""
     f = facts.filter("subject_surface_form is not null").groupBy(F.col("subject_surface_form").alias("form")).agg(F.count("*").alias("n"), F.max("subject_type").alias("kind"))
-    f = f.select("form", "n", "kind", squash(compose(plain(F.col("form")))).alias("clean"))
+    f = f.select("form", "n", "kind", squash(unify("form")).alias("clean"))
     return f.mapInPandas(_parse, "form string, n long, kind string, key string, short array<string>")
 
 
