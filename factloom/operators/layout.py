@@ -108,7 +108,7 @@ def classify_pages(pages: DataFrame, spans: DataFrame, images: DataFrame, drawin
     seen = coverage(images, pages).join(coverage(drawings, pages).withColumnRenamed("coverage", "drawn"), PAGE)
     tables = table_rows(spans).groupBy(*PAGE).agg(F.bool_or("is_table").alias("has_table"))
     j = pages.join(seen, PAGE).join(tables, PAGE, "left").withColumn("visual", F.greatest("coverage", "drawn"))
-    kind = F.when((F.col("char_count") < SLIDE_CHARS) & (F.col("visual") > SLIDE_COVER), "slide").when("has_table", "table").otherwise("prose")
+    kind = F.when((F.col("char_count") < SLIDE_CHARS) & (F.col("visual") > SLIDE_COVER), "slide").when(F.col("has_table"), "table").otherwise("prose")
     return j.select(*PAGE, F.col("visual").alias("coverage"), kind.alias("page_type"))
 
 
@@ -158,11 +158,10 @@ def header_cells(spans: DataFrame) -> DataFrame:
     cells, heads = table_cells(spans), table_headers(spans)
     h = heads.select(*PAGE, "header", F.col("y0").alias("hy"), "lo", "hi")
     mid = (F.col("x0") + F.col("x1")) / 2
-    key = [*PAGE, "row_no", "label", "value", "x0"]
+    key = [*PAGE, "row_no", "x0"]
     m = cells.join(h, PAGE).filter((mid >= F.col("lo") - CELL_SLACK) & (mid <= F.col("hi") + CELL_SLACK))
     text = m.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hy", "header"))), lambda x: x["header"]), " ").alias("header"))
-    on = [cells[k].eqNullSafe(text[k]) for k in key]
-    return cells.join(text, on, "left").select(*[cells[k] for k in key], text["header"])
+    return cells.join(text, key, "left").select(*PAGE, "row_no", "label", "value", "x0", "header")
 
 
 def captions(spans: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.keys import pair_id, with_keys
 from ..operators import link, reconcile
 from ..operators.ledger import Ledger
 from ..schema import FACTS
+from ..session import cut
 
 
 def new_pairs(new: DataFrame, store: DataFrame, limit: int = link.MAX_GROUP) -> DataFrame:
@@ -39,21 +40,18 @@ def ingest_batch(ledger: Ledger, batch: DataFrame, batch_id: int = 0) -> None:
     fresh = batch.filter("id is not null").dropDuplicates(["id"])
     if seen is not None:
         fresh = fresh.join(seen.select("id"), "id", "left_anti")
-    fresh = fresh.persist()
-    try:
-        if fresh.isEmpty():
-            return
-        keyed_new = with_keys(fresh)
-        ledger.append("facts", fresh)
-        store = with_keys(ledger.read("facts"))
-        pairs = new_pairs(keyed_new, store)
-        r = reconcile.reconcile(pairs).select(
-            pair_id(F.col("a.id"), F.col("b.id")).alias("id"), F.col("a.id").alias("fact_a_id"), F.col("b.id").alias("fact_b_id"),
-            "type", "reason_code", "explanation", F.lit(False).alias("explanation_pending"), "caveat", "delta", "confidence", "adjudicator",
-        )
-        ledger.append("relations", r, ["id"])
-    finally:
-        fresh.unpersist()
+    # fixed before the append below, which would otherwise make its own rows look already stored
+    fresh = cut(fresh)
+    if fresh.isEmpty():
+        return
+    keyed_new = with_keys(fresh)
+    ledger.append("facts", fresh)
+    pairs = new_pairs(keyed_new, with_keys(ledger.read("facts")))
+    r = reconcile.reconcile(pairs).select(
+        pair_id(F.col("a.id"), F.col("b.id")).alias("id"), F.col("a.id").alias("fact_a_id"), F.col("b.id").alias("fact_b_id"),
+        "type", "reason_code", "explanation", F.lit(False).alias("explanation_pending"), "caveat", "delta", "confidence", "adjudicator",
+    )
+    ledger.append("relations", r, ["id"])
 
 
 def ingest_stream(spark: SparkSession, source: str, ledger: Ledger, checkpoint: str) -> StreamingQuery:
