@@ -23,15 +23,16 @@ THRESHOLD = 0.4
 BROADCAST_ENTRIES = 100_000
 #: Common short and other names of accounting and operating measures, by the list's ids.
 COMMON_NAMES = {
-    "revenue_from_operations": ["turnover", "net sales", "revenue from ops"], "profit_after_tax": ["net profit", "net income"],
+    "revenue_from_operations": ["turnover", "net sales", "revenue from ops"], "profit_after_tax": ["net profit", "net income", "post tax profit"], "profit_before_tax": ["pre tax profit"],
+    "cost_of_materials_consumed": ["comc"],
     "depreciation_and_amortisation": ["depn & amort", "depreciation & amortisation", "depn and amort"],
     "earnings_before_interest_and_tax": ["operating profit"], "employee_benefits_expense": ["employee cost", "personnel expense", "staff costs"],
     "finance_costs": ["interest cost", "borrowing costs"], "inventories_at_year_end": ["inventory at year end"],
-    "cash_and_cash_equivalents": ["cash equivalents", "cash & cash equivalents"], "shipments_delivered": ["consignments delivered"],
+    "cash_and_cash_equivalents": ["cash equivalents", "cash & cash equivalents", "cce"], "shipments_delivered": ["consignments delivered"],
     "permanent_employees_on_roll": ["employees on roll", "permanent headcount"], "capital_expenditure": ["capital spend"],
     "consumer_price_inflation": ["cpi"], "gross_domestic_product_growth": ["gdp"], "long_term_borrowings": ["long-term debt"],
     "short_term_borrowings": ["short-term debt"], "community_programme_spend": ["csr expenditure"],
-    "research_and_development_spend": ["research & development spend", "r & d spend"],
+    "research_and_development_spend": ["research & development spend", "r & d spend", "r & d outlay"],
 }
 #: Common short forms of words in captions.
 SHORT_WORDS = {
@@ -60,13 +61,13 @@ def _words(c: Column) -> Column:
 
 
 def _stems(entries: DataFrame) -> dict[str, str]:
-    """Beginnings (three letters and more) of the entries' words -> the word, the shortest where several fit.
+    """Beginnings of the entries' words of six letters and more -> the word, the shortest where several fit.
 
     For words that a wording cuts short ("exp.", "oper…"). The list's vocabulary is a few hundred words."""
     out: dict[str, str] = {}
     words = [r[0] for r in entries.select(F.explode(_words(F.lower("label")))).distinct().collect()]
     for w in sorted(words, key=lambda x: (len(x), x)):
-        for n in range(2, len(w)):
+        for n in range(2, len(w) if len(w) > 5 else 0):
             out.setdefault(w[:n], w)
     return out
 
