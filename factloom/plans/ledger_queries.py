@@ -417,6 +417,65 @@ def scale_hints(spark: SparkSession, root: str) -> DataFrame:
     return hits.withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("doc_id", "rn", text.squash(F.col("hit")).alias("snippet"))
 
 
+#: A page's size in points where the tables name none.
+_WIDTH, _HEIGHT = 612.0, 792.0
+
+
+@query(f"""SELECT doc_id, page_no, round(sum(greatest(0, least(bbox.x1, {_WIDTH}) - greatest(bbox.x0, 0)) * greatest(0, least(bbox.y1, {_HEIGHT}) - greatest(bbox.y0, 0))) / ({_WIDTH} * {_HEIGHT}), 6) AS coverage
+    FROM {_B} WHERE bbox IS NOT NULL GROUP BY doc_id, page_no""")
+def page_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """Share of each page under its blocks."""
+    b = blocks(spark, root).filter("bbox is not null").select("doc_id", "page_no", "bbox.*")
+    pages = b.select("doc_id", "page_no").distinct().select("*", F.lit(_WIDTH).alias("width"), F.lit(_HEIGHT).alias("height"))
+    return layout.coverage(b, pages).select("doc_id", "page_no", F.round("coverage", 6).alias("coverage"))
+
+
+@query()
+def page_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Blocks of each page clustered into rows by their top edge."""
+    b = blocks(spark, root).filter("bbox is not null").select("doc_id", "page_no", F.col("block_no").alias("span_no"), "bbox.y0", "bbox.x0")
+    return layout.cluster_rows(b, layout.PAGE).select("doc_id", "page_no", F.col("span_no").alias("block_no"), "row_no")
+
+
+def _figures(spark: SparkSession, root: str) -> DataFrame:
+    """Each filing's numeric values of one page as a reconstructable page: subject, two values and headers.
+
+    The tables hold no spans, so a page is laid out from the facts themselves: one row per fact (label and
+    number), under a header row."""
+    f = facts(spark, root, "doc_id", "fact_type", "measure_surface_form", "value_number", "evidence.page_no").filter("fact_type = 'numeric' and value_number >= 0 and id is not null and page_no is not null")
+    n = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("id"))
+    f = f.withColumn("n", n)
+    y = F.lit(100.0) + F.col("n") * 12
+    at = lambda k, t, x0, x1, y0: F.struct((F.col("n") * 2 + k).alias("span_no"), t.alias("text"), F.lit(x0).alias("x0"), y0.alias("y0"), F.lit(x1).alias("x1"), (y0 + 8).alias("y1"))
+    cells = f.select("doc_id", "page_no", F.inline(F.array(at(0, F.col("measure_surface_form"), 10.0, 180.0, y), at(1, F.col("value_number").cast("decimal(24,2)").cast("string"), 200.0, 260.0, y))))
+    head = f.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.inline(F.array(F.struct(F.lit(0).alias("span_no"), F.lit("Amount").alias("text"), F.lit(200.0).alias("x0"), F.lit(98.0).alias("y0"), F.lit(260.0).alias("x1"), F.lit(106.0).alias("y1")))))
+    return cells.unionByName(head).withColumn("block_no", F.lit(0))
+
+
+@query(f"""SELECT doc_id, page_no, count(*) AS cells, count(*) AS under_header FROM (SELECT *, evidence.page_no AS page_no FROM {_F})
+    WHERE fact_type = 'numeric' AND value_number >= 0 AND page_no IS NOT NULL GROUP BY doc_id, page_no""")
+def table_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Cells found again from the laid-out pages, and how many got the header above them."""
+    c = layout.header_cells(_figures(spark, root))
+    return c.groupBy("doc_id", "page_no").agg(F.count("*").alias("cells"), F.count_if(F.col("header") == "Amount").alias("under_header"))
+
+
+@query()
+def incremental_ingest(spark: SparkSession, root: str) -> DataFrame:
+    """All facts through the streaming ingestion into a fresh ledger in the shared folder; relations by type."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.ingest import ingest_stream
+
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ledger-{uuid.uuid4().hex}"
+    led = ledger.Ledger(spark, base + "/tables")
+    ingest_stream(spark, f"{root}/facts.parquet*", led, base + "/progress").awaitTermination()
+    found = led.read("relations")
+    return ledger.relations_by_type(found)
+
+
 _HEADERS = ["FY24", "fy 23", "Consolidated 2024", "Standalone", "Year ended March 31, 2023", "Q4 FY24", "", "Particulars 2019"]
 
 
