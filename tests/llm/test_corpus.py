@@ -60,3 +60,30 @@ def test_subjects(spark):
         got.setdefault(r.doc_id, set()).add(r.area)
     assert not {900, 901, 902} & set(got)
     assert sum(got.get(i) == t for i, t in truth.items()) >= 0.9 * len(truth)
+
+
+def test_copies_make_no_boilerplate(spark):
+    rng = random.Random(10)
+    docs, truth, labels = [], {}, []
+    for i in range(240):
+        area = rng.choice(sorted(AREAS))
+        docs.append((i, " ".join(make(rng, [area], 8) + ["This page has been left blank on purpose."])))
+        truth[i] = {area}
+        labels.append((i, area))
+    text = [f"{s[:-1]} under rule {'ivxlcdm'[k % 7] * (k + 1)}." for k, s in enumerate(make(rng, ["law"], 12))] + ["This page has been left blank on purpose."]
+    for i in range(300, 420):
+        # half are exact copies, half have one sentence changed
+        near = [f"{s[:-1]} anew{i}." if i % 2 and k == i % 12 else s for k, s in enumerate(text)]
+        docs.append((i, " ".join(near)))
+        truth[i] = {"law"}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    al = spark.createDataFrame([(a, "") for a in AREAS], "area string, description string")
+    got = {}
+    for r in topics.subjects(df, spark.createDataFrame(labels, "doc_id long, area string"), al).collect():
+        got.setdefault(r.doc_id, set()).add(r.area)
+    assert all(got.get(i) == {"law"} for i in range(300, 420))
+    assert sum(got.get(i) == t for i, t in truth.items()) >= 0.9 * len(truth)
+    bags = df.mapInArrow(topics._bags(np.zeros(0, np.uint64)), topics._BAG)
+    copy, page = (np.concatenate([r["keys"] for r in bags.filter(f"doc_id = {i}").collect()]) for i in (300, 0))
+    boiler = topics.boilerplate(bags)
+    assert page[-1] in boiler and copy[-1] == page[-1] and not set(copy[:-1]) & set(boiler)
