@@ -25,6 +25,17 @@ def group_heads(facts: DataFrame, key: str, order: list, limit: int, payload: Co
     return heads.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("h")), lambda x: x["p"]).alias("heads"))
 
 
+def spread_heads(facts: DataFrame, order: list, limit: int, payload: Column) -> DataFrame:
+    """One row per loose key: ``heads`` holds, for any one claim key left out, the first ``limit`` payloads of
+    the others in order.
+
+    No more than ``limit`` facts of a claim key are among the first ``limit`` of the others, so each claim
+    key keeps that many, and the first ``2 * limit`` of those suffice whichever claim key is left out."""
+    w = Window.partitionBy("loose_key", "claim_key").orderBy(*order)
+    some = facts.filter(F.col("loose_key").isNotNull()).withColumn("_cn", F.row_number().over(w)).filter(F.col("_cn") <= limit)
+    return group_heads(some, "loose_key", order, 2 * limit, payload)
+
+
 def _pairs_within(groups: DataFrame, level: str) -> DataFrame:
     """All pairs of each bounded ``heads`` array, the smaller id first."""
     a = groups.filter(F.size("heads") > 1).select("heads", F.posexplode("heads").alias("i", "x"))
@@ -63,7 +74,8 @@ def candidates_for_facts(
     p = F.struct(F.col("id"), F.col("claim_key"), vis.alias("vis"))
     f = facts.select("id", "claim_key", "loose_key", vis.alias("vis"))
     exact = group_heads(facts, "claim_key", order, limit + 1, p).withColumnRenamed("heads", "eh")
-    loose = group_heads(facts, "loose_key", order, 2 * limit + 1, p).withColumnRenamed("heads", "lh")
+    loose = group_heads(facts, "loose_key", order, 2 * limit + 1, p) if leaky_truncation else spread_heads(facts, order, limit, p)
+    loose = loose.withColumnRenamed("heads", "lh")
     j = f.join(exact, "claim_key", "left").join(loose, "loose_key", "left")
     empty = F.array().cast("array<string>")
 

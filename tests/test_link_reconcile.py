@@ -78,6 +78,16 @@ def test_group_cap_and_leak(spark):
     assert {r.match_level: r["count"] for r in strict} == {"exact": 50, "loose": 1}
 
 
+def test_strict_loose_peers_beyond_a_hot_claim_key(spark):
+    rows = [fact(f"a{i:03}") for i in range(130)] + [fact(f"b{i:03}", label="FY23") for i in range(70)] + [fact("c000", label="FY22")]
+    f = keyed(spark, rows)
+    got = {}
+    for r in link.candidates_for_facts(f, ["doc_id", "id"], ["doc_id"], leaky_truncation=False).filter("match_level = 'loose'").collect():
+        got.setdefault(r.id, set()).add(r.other_id)
+    key = {r.id: r.claim_key for r in f.collect()}
+    assert got == {i: set(sorted(j for j in key if key[j] != key[i])[:50]) for i in key}
+
+
 def test_group_limit_is_partial_and_no_cartesian(spark):
     f = keyed(spark, [fact("a"), fact("b")])
     plan = link.find_candidates(f, ["doc_id", "id"], ["doc_id"])._jdf.queryExecution().toString()
