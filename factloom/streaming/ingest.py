@@ -15,17 +15,26 @@ from ..session import cut
 
 def new_pairs(new: DataFrame, store: DataFrame, limit: int = link.MAX_GROUP) -> DataFrame:
     """(a, b, match_level) of each new fact with its first peers in the store (new facts included), by key and
-    then by looser key, an unordered pair once. Both tables carry the components and keys."""
+    then by looser key, an unordered pair once. Both tables carry the components and keys.
+
+    The exact peers taken are left out of the loose ones before those are cut; exact peers beyond the limit
+    come back as loose, as in ``link.candidates_for_facts``."""
     payload = F.struct(*reconcile.SIDE, "claim_key")
     order = ["doc_id", "id"]
     n = new.select(payload.alias("x"), "claim_key", "loose_key")
+    other = F.filter("heads", lambda h: h["id"] != F.col("x.id"))
+    # facts of one claim key share their loose key, so the exact peers taken are the first of the claim key here too
+    taken = F.transform(F.slice(F.filter(other, lambda h: h["claim_key"].eqNullSafe(F.col("x.claim_key"))), 1, limit), lambda h: h["id"])
     out = None
-    for level, key in (("exact", "claim_key"), ("loose", "loose_key")):
-        heads = link.group_heads(store.join(new.select(key).distinct(), key, "left_semi"), key, order, limit + 1, payload)
-        mine = F.slice(F.filter("heads", lambda h: h["id"] != F.col("x.id")), 1, limit)
+    for level, key, most in (("exact", "claim_key", limit + 1), ("loose", "loose_key", 2 * limit + 1)):
+        heads = link.group_heads(store.join(new.select(key).distinct(), key, "left_semi"), key, order, most, payload)
+        p = n.join(heads, key)
         if level == "loose":
-            mine = F.slice(F.filter("heads", lambda h: (h["id"] != F.col("x.id")) & ~h["claim_key"].eqNullSafe(F.col("x.claim_key"))), 1, limit)
-        p = n.join(heads, key).select("x", F.explode(mine).alias("y"), F.lit(level).alias("match_level"))
+            p = p.withColumn("taken", taken)
+            mine = F.slice(F.filter(other, lambda h: ~F.array_contains(F.col("taken"), h["id"])), 1, limit)
+        else:
+            mine = F.slice(other, 1, limit)
+        p = p.select("x", F.explode(mine).alias("y"), F.lit(level).alias("match_level"))
         out = p if out is None else out.unionByName(p)
     swap = F.col("x.id") > F.col("y.id")
     p = out.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"), "match_level")

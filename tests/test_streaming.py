@@ -4,7 +4,8 @@ from factloom.adjudicate import cached, narrate
 from factloom.operators.ledger import Ledger
 from factloom.schema import FACTS
 from factloom.sources.extraction import parse_responses, to_facts
-from factloom.streaming.ingest import ingest_batch, ingest_stream
+from factloom.functions.keys import with_keys
+from factloom.streaming.ingest import ingest_batch, ingest_stream, new_pairs
 from factloom.streaming.intervals import stream_gaps
 
 
@@ -31,6 +32,23 @@ def test_incremental_ingest(spark, tmp_path):
     assert led.read("facts").count() == 3 and led.read("relations").count() == 3
 
 
+def test_new_pairs_take_peers_after_exclusion(spark):
+    rows = [row(f"a{i:02}", "5") for i in range(9)] + [(f"b{i:02}", *row("", "5")[1:6], {"period_label": "FY23"}) for i in range(6)]
+    f = with_keys(facts(spark, rows)).cache()
+    key = {r.id: r.claim_key for r in f.collect()}
+    assert len(set(key.values())) == 2 and f.select("loose_key").distinct().count() == 1
+    want = {}
+    for i in key:
+        exact = [j for j in sorted(key) if j != i and key[j] == key[i]][:3]
+        loose = [j for j in sorted(key) if j != i and j not in exact][:3]
+        for level, js in (("exact", exact), ("loose", loose)):
+            for j in js:
+                pair = (min(i, j), max(i, j))
+                want[pair] = min(level, want.get(pair, level))
+    got = {(r.a.id, r.b.id): r.match_level for r in new_pairs(f, f, 3).collect()}
+    assert got == want
+
+
 def test_stream_gaps(spark, tmp_path):
     schema = "k string, s date, e date"
     src = str(tmp_path / "in")
