@@ -40,6 +40,19 @@ def long_blocks(blocks: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     return blocks.filter(F.length("text") >= least)
 
 
+def around(text: Column, pattern: str, chars: int, most: int) -> Column:
+    """The first ``most`` hits of the pattern, each with ``chars`` characters on both sides. Hits are found by
+    the bare pattern: what is around one may hold another."""
+    hits, between = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, most), F.split(text, pattern, -1)
+
+    def snippet(h: Column, i: Column) -> Column:
+        start = F.length(F.array_join(F.slice(between, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(hits, F.lit(1), i), ""))
+        first = F.greatest(start - chars, F.lit(0))
+        return F.substring(text, first + 1, start + F.length(h) + chars - first)
+
+    return F.transform(hits, snippet)
+
+
 def tag_sections(blocks: DataFrame) -> DataFrame:
     """Adds ``section``: the latest heading in document order, the block itself included; none yet gives null."""
     w = Window.partitionBy("doc_id").orderBy("page_no", "block_no").rowsBetween(Window.unboundedPreceding, 0)

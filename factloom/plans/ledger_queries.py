@@ -412,7 +412,7 @@ _HINT = r"(?i)[₹$€£]\s*(?:\(?[\d,]+(?:\.\d+)?\)?\s*)?(?:in\s+)?(?:million|m
 def scale_hints(spark: SparkSession, root: str) -> DataFrame:
     """The first three currency-and-scale mentions of each filing with 60 characters around."""
     b = blocks(spark, root).filter(F.col("text").rlike(_HINT))
-    hits = b.select("doc_id", "page_no", "block_no", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)(.{0,60}" + _HINT.replace("(?i)", "(?i:") + ").{0,60})"), F.lit(1))).alias("k", "hit"))
+    hits = b.select("doc_id", "page_no", "block_no", F.posexplode(layout.around(F.col("text"), _HINT, 60, 3)).alias("k", "hit"))
     w = Window.partitionBy("doc_id").orderBy("page_no", "block_no", "k")
     return hits.withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("doc_id", "rn", text.squash(F.col("hit")).alias("snippet"))
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import ground, intervals, layout, ledger, skew, units_graph
+from factloom.plans import ledger_queries
 from factloom.session import cut
 
 
@@ -161,3 +162,19 @@ def test_ledger(spark, tmp_path):
 
 def test_checkpoint(spark):
     assert cut(spark.range(3)).count() == 3
+
+
+def test_hints_do_not_swallow_each_other(spark, tmp_path):
+    import re
+
+    text = "Paid ₹ 5 crore then $ 7 million and later 😀 € 9 bn. " + "x" * 100 + " ₹ in lakh, and £ 2 k."
+    rows = [("d", 1, 0, text[:70], "prose"), ("e", 1, 0, "nothing", "prose"), ("e", 2, 0, text, "prose"), ("e", 3, 0, "₹ 1 cr", "prose")]
+    spark.createDataFrame(rows, "doc_id string, page_no int, block_no int, text string, page_type string").write.parquet(str(tmp_path / "blocks.parquet"))
+    got = {}
+    for r in ledger_queries.scale_hints(spark, str(tmp_path)).orderBy("doc_id", "rn").collect():
+        got.setdefault(r.doc_id, []).append(r.snippet)
+    want = {}
+    for d, _, _, t, _ in rows:
+        for m in re.finditer(ledger_queries._HINT, t):
+            want.setdefault(d, []).append(" ".join(t[max(0, m.start() - 60) : m.end() + 60].split()))
+    assert got == {d: x[:3] for d, x in want.items()} and len(got["d"]) == len(got["e"]) == 3
