@@ -15,6 +15,7 @@ SCALE_ANNOTATION = r"(?i)\(\s*[₹$]?\s*(?:in\s+)?(?:million|crore|lakh|thousand
 MIN_CHARS, HEADING_CHARS, SLIDE_CHARS, SLIDE_COVER = 40, 80, 1200, 0.30
 ROW_GAP, COLUMN_GAP, MIN_NUMERIC = 2.0, 15.0, 3
 HEADER_REACH, HEADER_OVERLAP, CAPTION_REACH, CELL_SLACK = 60.0, 0.3, 50.0, 8.0
+SAMPLE_CHARS = 4000
 BATCH_CHARS, BATCH_ITEMS, BLOCK_COST, CELL_COST = 3500, 20, 120, 30
 PAGE = ["doc_id", "page_no"]
 
@@ -40,6 +41,16 @@ def long_blocks(blocks: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     return blocks.filter(F.length("text") >= least)
 
 
+def opening(blocks: DataFrame, most: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, sample): the first ``most`` characters of each filing, block after block, however many pages
+    they take. Blocks that begin behind that are dropped before the texts are gathered."""
+    w = Window.partitionBy("doc_id").orderBy("page_no", "block_no").rowsBetween(Window.unboundedPreceding, -1)
+    b = blocks.filter("text is not null").select("doc_id", "page_no", "block_no", F.substring("text", 1, most).alias("text"))
+    b = b.withColumn("_before", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))).filter(F.col("_before") < most)
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", "block_no", "text")))
+    return b.groupBy("doc_id").agg(F.substring(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n"), 1, most).alias("sample"))
+
+
 def around(text: Column, pattern: str, chars: int, most: int) -> Column:
     """The first ``most`` hits of the pattern, each with ``chars`` characters on both sides. Hits are found by
     the bare pattern: what is around one may hold another."""

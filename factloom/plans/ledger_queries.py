@@ -398,12 +398,18 @@ def route_pages(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"SELECT doc_id, left(string_agg(text, chr(10) ORDER BY page_no, block_no), 4000) AS sample FROM {_B} WHERE page_no <= 3 AND text IS NOT NULL GROUP BY doc_id")
 def sample_text(spark: SparkSession, root: str) -> DataFrame:
-    """The opening of each filing (three pages, cut at 4000 characters) that a context provider reads."""
+    """The opening of each filing within three pages, cut at 4000 characters; ``sample_text_whole`` reads on."""
     b = blocks(spark, root).filter("page_no <= 3 and text is not null")
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "block_no", "text")))
     return b.groupBy("doc_id").agg(F.substring(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n"), 1, 4000).alias("sample"))
 
 
+@query(f"SELECT doc_id, left(string_agg(text, chr(10) ORDER BY page_no, block_no), 4000) AS sample FROM {_B} WHERE text IS NOT NULL GROUP BY doc_id")
+def sample_text_whole(spark: SparkSession, root: str) -> DataFrame:
+    """The first 4000 characters of each filing, over as many pages as they take, that a context provider reads."""
+    return layout.opening(blocks(spark, root))
+
+
 #: A currency sign, an optional amount, and a scale word.
 _HINT = r"(?i)[₹$€£]\s*(?:\(?[\d,]+(?:\.\d+)?\)?\s*)?(?:in\s+)?(?:million|mn|crore|cr|lakh|lk|thousand|k|billion|bn)\b"
 

@@ -178,3 +178,11 @@ def test_hints_do_not_swallow_each_other(spark, tmp_path):
         for m in re.finditer(ledger_queries._HINT, t):
             want.setdefault(d, []).append(" ".join(t[max(0, m.start() - 60) : m.end() + 60].split()))
     assert got == {d: x[:3] for d, x in want.items()} and len(got["d"]) == len(got["e"]) == 3
+
+
+def test_all_pages_are_read(spark, tmp_path):
+    rows = [("d", p, b, f"{p}-{b} " + "w" * 50, "prose") for p in range(1, 100) for b in (0, 1)] + [("s", 30, 0, "short", "table"), ("s", 31, 0, None, "table"), ("s", 1, 0, "slide", "slide")]
+    b = spark.createDataFrame(rows, "doc_id string, page_no int, block_no int, text string, page_type string")
+    b.write.parquet(str(tmp_path / "blocks.parquet"))
+    got = {r.doc_id: r.sample for r in ledger_queries.sample_text_whole(spark, str(tmp_path)).collect()}
+    assert got == {"d": "\n".join(r[3] for r in rows if r[0] == "d")[:4000], "s": "slide\nshort"} and len(got["d"]) == 4000
