@@ -41,6 +41,14 @@ def long_blocks(blocks: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     return blocks.filter(F.length("text") >= least)
 
 
+def route_pages(blocks: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Pages that go to extraction, per filing and route, up to ``max_pages`` where given; slides are left out."""
+    b = blocks.filter("page_type in ('prose', 'table')")
+    if max_pages is not None:
+        b = b.filter(F.col("page_no") <= max_pages)
+    return b.groupBy("doc_id", "page_type").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count("*").alias("blocks"))
+
+
 def opening(blocks: DataFrame, most: int = SAMPLE_CHARS) -> DataFrame:
     """(doc_id, sample): the first ``most`` characters of each filing, block after block, however many pages
     they take. Blocks that begin behind that are dropped before the texts are gathered."""

@@ -391,9 +391,14 @@ def batching(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"SELECT doc_id, page_type, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS blocks FROM {_B} WHERE page_type IN ('prose', 'table') AND page_no <= 10 GROUP BY doc_id, page_type")
 def route_pages(spark: SparkSession, root: str) -> DataFrame:
-    """Pages up to the page limit that go to extraction, per filing and route; slides are left out."""
-    b = blocks(spark, root).filter("page_type in ('prose', 'table') and page_no <= 10")
-    return b.groupBy("doc_id", "page_type").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count("*").alias("blocks"))
+    """Pages up to a page limit of ten that go to extraction; ``route_all_pages`` has no limit."""
+    return layout.route_pages(blocks(spark, root), 10)
+
+
+@query(f"SELECT doc_id, page_type, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS blocks FROM {_B} WHERE page_type IN ('prose', 'table') GROUP BY doc_id, page_type")
+def route_all_pages(spark: SparkSession, root: str) -> DataFrame:
+    """All pages that go to extraction, per filing and route; slides are left out."""
+    return layout.route_pages(blocks(spark, root))
 
 
 @query(f"SELECT doc_id, left(string_agg(text, chr(10) ORDER BY page_no, block_no), 4000) AS sample FROM {_B} WHERE page_no <= 3 AND text IS NOT NULL GROUP BY doc_id")

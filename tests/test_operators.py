@@ -186,3 +186,6 @@ def test_all_pages_are_read(spark, tmp_path):
     b.write.parquet(str(tmp_path / "blocks.parquet"))
     got = {r.doc_id: r.sample for r in ledger_queries.sample_text_whole(spark, str(tmp_path)).collect()}
     assert got == {"d": "\n".join(r[3] for r in rows if r[0] == "d")[:4000], "s": "slide\nshort"} and len(got["d"]) == 4000
+    routed = {r.doc_id: tuple(r)[1:] for r in ledger_queries.route_all_pages(spark, str(tmp_path)).collect()}
+    assert routed == {"d": ("prose", 1, 99, 198), "s": ("table", 30, 31, 2)}
+    assert [tuple(r) for r in layout.route_pages(b, 10).collect()] == [("d", "prose", 1, 10, 20)]
