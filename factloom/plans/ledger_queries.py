@@ -448,12 +448,14 @@ def page_rows(spark: SparkSession, root: str) -> DataFrame:
     return layout.cluster_rows(b, layout.PAGE).select("doc_id", "page_no", F.col("span_no").alias("block_no"), "row_no")
 
 
-def _figures(spark: SparkSession, root: str) -> DataFrame:
+def _figures(spark: SparkSession, root: str, negative: bool = False) -> DataFrame:
     """Each filing's numeric values of one page as a reconstructable page: subject, two values and headers.
 
     The tables hold no spans, so a page is laid out from the facts themselves: one row per fact (label and
-    number), under a header row."""
-    f = facts(spark, root, "doc_id", "fact_type", "measure_surface_form", "value_number", "evidence.page_no").filter("fact_type = 'numeric' and value_number >= 0 and id is not null and page_no is not null")
+    number), under a header row. Numbers below zero are left out unless asked for."""
+    f = facts(spark, root, "doc_id", "fact_type", "measure_surface_form", "value_number", "evidence.page_no").filter("fact_type = 'numeric' and value_number is not null and id is not null and page_no is not null")
+    if not negative:
+        f = f.filter("value_number >= 0")
     n = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("id"))
     f = f.withColumn("n", n)
     y = F.lit(100.0) + F.col("n") * 12
@@ -471,6 +473,14 @@ def table_cells(spark: SparkSession, root: str) -> DataFrame:
     return c.groupBy("doc_id", "page_no").agg(F.count("*").alias("cells"), F.count_if(F.col("header") == "Amount").alias("under_header"))
 
 
+@query(f"""SELECT doc_id, page_no, count(*) AS cells, count(*) AS under_header FROM (SELECT *, evidence.page_no AS page_no FROM {_F})
+    WHERE fact_type = 'numeric' AND value_number IS NOT NULL AND page_no IS NOT NULL GROUP BY doc_id, page_no""")
+def table_cells_signed(spark: SparkSession, root: str) -> DataFrame:
+    """As ``table_cells``, over the numbers of both signs."""
+    c = layout.header_cells(_figures(spark, root, negative=True))
+    return c.groupBy("doc_id", "page_no").agg(F.count("*").alias("cells"), F.count_if(F.col("header") == "Amount").alias("under_header"))
+
+
 @query()
 def incremental_ingest(spark: SparkSession, root: str) -> DataFrame:
     """All facts through the streaming ingestion into a fresh ledger in the shared folder; relations by type."""

@@ -189,3 +189,9 @@ def test_all_pages_are_read(spark, tmp_path):
     routed = {r.doc_id: tuple(r)[1:] for r in ledger_queries.route_all_pages(spark, str(tmp_path)).collect()}
     assert routed == {"d": ("prose", 1, 99, 198), "s": ("table", 30, 31, 2)}
     assert [tuple(r) for r in layout.route_pages(b, 10).collect()] == [("d", "prose", 1, 10, 20)]
+
+
+def test_negative_numbers_are_cells(spark, tmp_path):
+    rows = [(str(i), "d", "numeric", "Profit", v, (1,)) for i, v in enumerate([5.0, -7.25, 0.0, None])]
+    spark.createDataFrame(rows, "id string, doc_id string, fact_type string, measure_surface_form string, value_number double, evidence struct<page_no:int>").write.parquet(str(tmp_path / "facts.parquet"))
+    assert [tuple(r) for r in ledger_queries.table_cells_signed(spark, str(tmp_path)).collect()] == [("d", 1, 3, 3)]
