@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import with_keys
+from ..operators.reconcile import SIDE
 from ..schema import RELATION_TYPES
 
 
@@ -26,7 +27,11 @@ def ordered_pair(relations: DataFrame) -> DataFrame:
 class Ledger:
     """Tables under one folder. Writes append; a retried batch adds nothing."""
 
-    TABLES = {"documents": ["doc_id"], "facts": ["id"], "quarantined": ["id"], "relations": ["fact_a_id", "fact_b_id"]}
+    TABLES = {"documents": ["doc_id"], "facts": ["id"], "quarantined": ["id"], "relations": ["fact_a_id", "fact_b_id"], "keys": ["id"]}
+    #: Columns of a fact that linking and reconciling read, worked out once when it is first seen.
+    KEYS = [*SIDE, "claim_key", "loose_key"]
+    #: The folder of keys is laid out by a hash of the loose key, so a batch reads the parts its keys are in.
+    PARTS = 64
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -39,6 +44,10 @@ class Ledger:
         p = jvm.org.apache.hadoop.fs.Path(self.path(name))
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def remove(self, folder: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def read(self, name: str) -> DataFrame | None:
         return self.spark.read.option("mergeSchema", "true").parquet(self.path(name)) if self.exists(name) else None
 
@@ -48,9 +57,42 @@ class Ledger:
         keys = self.TABLES[name]
         old = self.read(name)
         if name == "facts":
-            rows = with_keys(rows).drop("subject_id", "measure_key", "period_start", "period_end", "consolidation", "geography", "modality")
-        out = insert_ignore(rows, old if old is not None else rows.limit(0), keys, order)
-        out.write.mode("append").parquet(self.path(name))
+            if not {"claim_key", "subject_id"} <= set(rows.columns):
+                rows = with_keys(rows)
+            rows = rows.drop("subject_id", "measure_key", "period_start", "period_end", "consolidation", "geography", "modality")
+        out = insert_ignore(rows.select(*self.KEYS) if name == "keys" else rows, old if old is not None else rows.limit(0), keys, order)
+        if name == "keys":
+            stored = self.read("facts")
+            if old is None and stored is not None:  # a ledger from before keys were kept
+                out = out.unionByName(with_keys(stored).select(*self.KEYS).join(out.select("id"), "id", "left_anti"))
+            out = out.withColumn("part", self.part())
+            out.write.mode("append").partitionBy("part").parquet(self.path(name))
+        else:
+            out.write.mode("append").parquet(self.path(name))
+
+    @classmethod
+    def part(cls) -> Column:
+        return F.pmod(F.xxhash64("loose_key"), F.lit(cls.PARTS)).cast("int")
+
+    def keys(self, new: DataFrame) -> DataFrame | None:
+        """Stored keys of facts that may pair with those of ``new(loose_key)``: facts of one claim key share their
+        loose key, so only the parts of the new loose keys are read. A ledger without keys works them out."""
+        stored = self.read("keys")
+        if stored is None:
+            old = self.read("facts")
+            return None if old is None else with_keys(old).select(*self.KEYS)
+        near = F.broadcast(new.select(self.part().alias("part")).distinct())  # PARTS rows at most
+        return stored.join(near, "part", "left_semi").select(*self.KEYS)
+
+    def get(self, name: str, key: str) -> DataFrame | None:
+        """The row with this id (point lookup by the table's own key); no row where it is unknown."""
+        rows = self.read(name)
+        return None if rows is None else rows.filter(F.col("id" if name == "relations" else self.TABLES[name][0]) == key)
+
+    def of_document(self, name: str, doc_id: str) -> DataFrame | None:
+        """Facts or quarantined proposals of one document."""
+        rows = self.read(name)
+        return None if rows is None else rows.filter(F.col("doc_id") == doc_id)
 
 
 def _like(needle: str) -> str:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import salted_join
+
 MAX_GROUP = 50
 
 
@@ -76,7 +78,8 @@ def candidates_for_facts(
     exact = group_heads(facts, "claim_key", order, limit + 1, p).withColumnRenamed("heads", "eh")
     loose = group_heads(facts, "loose_key", order, 2 * limit + 1, p) if leaky_truncation else spread_heads(facts, order, limit, p)
     loose = loose.withColumnRenamed("heads", "lh")
-    j = f.join(exact, "claim_key", "left").join(loose, "loose_key", "left")
+    # a hot key's facts, each with its heads, are spread over salts
+    j = salted_join(salted_join(f, exact, "claim_key", "left", spread="id"), loose, "loose_key", "left", spread="id")
     empty = F.array().cast("array<string>")
 
     def others(heads: str) -> Column:

@@ -481,9 +481,22 @@ def table_cells_signed(spark: SparkSession, root: str) -> DataFrame:
     return c.groupBy("doc_id", "page_no").agg(F.count("*").alias("cells"), F.count_if(F.col("header") == "Amount").alias("under_header"))
 
 
-@query()
+#: Micro-batches that the incremental query makes of the filings.
+_STEPS = 4
+_DELIVERY = f"""d AS (SELECT doc_id, min(ingested_at) AS arrived FROM filings GROUP BY doc_id),
+    st AS (SELECT doc_id, ntile({_STEPS}) OVER (ORDER BY arrived NULLS LAST, doc_id) AS step FROM d)"""
+
+
+@query(f"""WITH {S.facts_cte(f""", {_DELIVERY},
+    fd AS (SELECT f.*, coalesce(st.step, 1) AS doc_seq, row_number() OVER (ORDER BY f.doc_id, f.id) AS seq FROM f LEFT JOIN st USING (doc_id)),
+    ex AS (SELECT a.id, b.id AS other_id, row_number() OVER (PARTITION BY a.id ORDER BY b.seq) AS rn FROM fd a JOIN fd b ON a.claim_key = b.claim_key AND a.id <> b.id AND b.doc_seq <= a.doc_seq QUALIFY rn <= 50),
+    lo AS (SELECT a.id, b.id AS other_id, row_number() OVER (PARTITION BY a.id ORDER BY b.seq) AS rl FROM fd a JOIN fd b ON a.loose_key = b.loose_key AND a.id <> b.id AND b.doc_seq <= a.doc_seq
+        LEFT JOIN ex ON ex.id = a.id AND ex.other_id = b.id WHERE ex.id IS NULL QUALIFY rl <= 50),
+    pairs AS (SELECT least(id, other_id) AS a_id, greatest(id, other_id) AS b_id, 'any' AS match_level FROM (SELECT id, other_id FROM ex UNION ALL SELECT id, other_id FROM lo) GROUP BY 1, 2)
+    """ + _VERDICTS)} SELECT a_id AS fact_a_id, b_id AS fact_b_id, type, reason_code, confidence FROM verdicts""")
 def incremental_ingest(spark: SparkSession, root: str) -> DataFrame:
-    """All facts through the streaming ingestion into a fresh ledger in the shared folder; relations by type."""
+    """All facts through the streaming ingestion into a fresh ledger of the shared folder, in _STEPS deliveries
+    by the filings' order of ingestion (facts of unknown filings come first); every stored relation."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
@@ -492,9 +505,17 @@ def incremental_ingest(spark: SparkSession, root: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ledger-{uuid.uuid4().hex}"
     led = ledger.Ledger(spark, base + "/tables")
-    ingest_stream(spark, f"{root}/facts.parquet*", led, base + "/progress").awaitTermination()
-    found = led.read("relations")
-    return ledger.relations_by_type(found)
+    at = table(spark, root, "filings").groupBy("doc_id").agg(F.min("ingested_at").alias("at"))
+    # the filings' dates are few beside the facts; ntile needs them in one order
+    step = at.select("doc_id", F.ntile(_STEPS).over(Window.orderBy(F.asc_nulls_last("at"), "doc_id")).alias("step"))
+    arrived = cut(table(spark, root, "facts").join(step, "doc_id", "left").withColumn("step", F.coalesce("step", F.lit(1))))
+    try:
+        for n in range(1, _STEPS + 1):
+            arrived.filter(F.col("step") == n).drop("step").write.mode("append").parquet(base + "/arrivals")
+            ingest_stream(spark, base + "/arrivals", led, base + "/progress").awaitTermination()
+        return cut(led.read("relations").select("fact_a_id", "fact_b_id", "type", "reason_code", "confidence"))
+    finally:
+        led.remove(base)
 
 
 _HEADERS = ["FY24", "fy 23", "Consolidated 2024", "Standalone", "Year ended March 31, 2023", "Q4 FY24", "", "Particulars 2019"]

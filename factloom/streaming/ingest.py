@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.keys import pair_id, with_keys
 from ..operators import link, reconcile
 from ..operators.ledger import Ledger
+from ..operators.skew import salted_join
 from ..schema import FACTS
 from ..session import cut
 
@@ -18,17 +19,17 @@ def new_pairs(new: DataFrame, store: DataFrame, limit: int = link.MAX_GROUP) ->
     then by looser key, an unordered pair once. Both tables carry the components and keys.
 
     The exact peers taken are left out of the loose ones before those are cut; exact peers beyond the limit
-    come back as loose, as in ``link.candidates_for_facts``."""
+    come back as loose, as in ``link.candidates_for_facts``. A hot key's facts meet its heads in salts."""
     payload = F.struct(*reconcile.SIDE, "claim_key")
     order = ["doc_id", "id"]
-    n = new.select(payload.alias("x"), "claim_key", "loose_key")
+    n = new.select(payload.alias("x"), F.col("id").alias("_id"), "claim_key", "loose_key")
     other = F.filter("heads", lambda h: h["id"] != F.col("x.id"))
     # facts of one claim key share their loose key, so the exact peers taken are the first of the claim key here too
     taken = F.transform(F.slice(F.filter(other, lambda h: h["claim_key"].eqNullSafe(F.col("x.claim_key"))), 1, limit), lambda h: h["id"])
     out = None
     for level, key, most in (("exact", "claim_key", limit + 1), ("loose", "loose_key", 2 * limit + 1)):
         heads = link.group_heads(store.join(new.select(key).distinct(), key, "left_semi"), key, order, most, payload)
-        p = n.join(heads, key)
+        p = salted_join(n, heads, key, spread="_id")
         if level == "loose":
             p = p.withColumn("taken", taken)
             mine = F.slice(F.filter(other, lambda h: ~F.array_contains(F.col("taken"), h["id"])), 1, limit)
@@ -43,24 +44,30 @@ def new_pairs(new: DataFrame, store: DataFrame, limit: int = link.MAX_GROUP) ->
 
 
 def ingest_batch(ledger: Ledger, batch: DataFrame, batch_id: int = 0) -> None:
-    """One micro-batch: append unseen facts, link them, reconcile, append unseen relations. Replaying a batch
-    changes nothing: ids are content ids and both appends ignore what is there."""
+    """One micro-batch: link and reconcile the facts that are not stored yet, then store them.
+
+    Replaying a batch changes nothing, wherever it broke off: relations are written first, the facts last,
+    so facts that are stored have all their relations, and a replay works out again whatever the stored
+    facts do not vouch for. All three appends ignore what is there (ids are content ids). Rows without an
+    id are left out; of repeated ids one is kept."""
     seen = ledger.read("facts")
     fresh = batch.filter("id is not null").dropDuplicates(["id"])
     if seen is not None:
         fresh = fresh.join(seen.select("id"), "id", "left_anti")
-    # fixed before the append below, which would otherwise make its own rows look already stored
-    fresh = cut(fresh)
+    # fixed before the appends below, which would otherwise make their own rows look already stored
+    fresh = cut(with_keys(fresh))
     if fresh.isEmpty():
         return
-    keyed_new = with_keys(fresh)
-    ledger.append("facts", fresh)
-    pairs = new_pairs(keyed_new, with_keys(ledger.read("facts")))
-    r = reconcile.reconcile(pairs).select(
+    new = fresh.select(*Ledger.KEYS)
+    store = ledger.keys(new)
+    whole = new if store is None else store.join(new.select("id"), "id", "left_anti").unionByName(new)
+    r = reconcile.reconcile(new_pairs(new, whole)).select(
         pair_id(F.col("a.id"), F.col("b.id")).alias("id"), F.col("a.id").alias("fact_a_id"), F.col("b.id").alias("fact_b_id"),
         "type", "reason_code", "explanation", F.lit(False).alias("explanation_pending"), "caveat", "delta", "confidence", "adjudicator",
     )
     ledger.append("relations", r, ["id"])
+    ledger.append("keys", new)
+    ledger.append("facts", fresh)
 
 
 def ingest_stream(spark: SparkSession, source: str, ledger: Ledger, checkpoint: str) -> StreamingQuery:

@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.adjudicate import cached, narrate
 from factloom.operators.ledger import Ledger
+from factloom.operators.link import candidates_for_facts
 from factloom.schema import FACTS
 from factloom.sources.extraction import parse_responses, to_facts
 from factloom.functions.keys import with_keys
@@ -49,6 +51,42 @@ def test_new_pairs_take_peers_after_exclusion(spark):
     assert got == want
 
 
+def test_a_batch_that_broke_off_is_made_up_for(spark, tmp_path, monkeypatch):
+    batch = facts(spark, [row(f"{i}", "5") for i in range(5)])
+    for broken in ("relations", "keys", "facts"):
+        led, append = Ledger(spark, str(tmp_path / broken)), Ledger.append
+
+        def fail(self, name, rows, order=None, broken=broken, append=append):
+            if name == broken:
+                raise OSError("lost")
+            append(self, name, rows, order)
+
+        monkeypatch.setattr(Ledger, "append", fail)
+        with pytest.raises(OSError):
+            ingest_batch(led, batch)
+        monkeypatch.setattr(Ledger, "append", append)
+        for _ in range(2):
+            ingest_batch(led, batch)
+            assert led.read("facts").count() == led.read("keys").count() == 5 and led.read("relations").count() == 10
+    assert led.get("facts", "3").count() == led.get("relations", led.read("relations").first().id).count() == 1
+    assert led.of_document("facts", "d1").count() == 5 and led.get("facts", "none").count() == 0 and led.get("documents", "d1") is None
+
+
+def test_loose_peers_behind_a_full_claim_key(spark, tmp_path):
+    """150 facts of one claim key and 10 of another on the same loose key, the last of the 150 new."""
+    f = with_keys(facts(spark, [row(f"{i:03}", "5") for i in range(150)] + [(f"z{i}", *row("", "5")[1:6], {"period_label": "FY23"}) for i in range(10)])).cache()
+    new = f.filter("id = '149'")
+    levels = [r.match_level for r in new_pairs(new, f).collect()]
+    assert levels.count("exact") == 50 and levels.count("loose") == 50
+    led = Ledger(spark, str(tmp_path))
+    led.append("facts", f.filter("id <> '149'").select(*[c.name for c in FACTS]))
+    ingest_batch(led, new.select(*[c.name for c in FACTS]))
+    assert led.read("relations").count() == 100 and led.read("keys").count() == led.read("facts").count() == 160
+    for leaky, loose in ((True, 50), (False, 10)):
+        got = candidates_for_facts(f.select("id", "doc_id", "claim_key", "loose_key"), ["doc_id", "id"], ["doc_id"], leaky_truncation=leaky).filter("id = '000'")
+        assert {r.match_level: r["count"] for r in got.groupBy("match_level").count().collect()} == {"exact": 50, "loose": loose}
+
+
 def test_stream_gaps(spark, tmp_path):
     schema = "k string, s date, e date"
     src = str(tmp_path / "in")
