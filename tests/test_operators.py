@@ -1,4 +1,5 @@
 import random
+import unicodedata
 from datetime import date, timedelta
 
 import pytest
@@ -58,7 +59,29 @@ def test_best_window_against_brute_force():
         b = "".join(rng.choices("abc ", k=rng.randrange(len(q), 20)))
         m = len(q)
         best = max(200 * lcs(q, b[max(i, 0) : i + m]) / (m + len(b[max(i, 0) : i + m])) for i in range(-(m - 1), len(b)))
-        assert ground.best_window(q, b)[0] == pytest.approx(best)
+        score, lo, hi = ground.best_window(q, b)
+        assert score == pytest.approx(best)
+        if q not in b and best > 0:
+            ways = [(max(i, 0), min(i + m, len(b))) for i in range(-(m - 1), len(b))]
+            assert (lo, hi) == next((x, y) for x, y in ways if 200 * lcs(q, b[x:y]) / (m + y - x) == score)
+
+
+def test_fold_against_string_calls():
+    def brute(t):
+        out, at = [], []
+        for i, ch in enumerate(t):
+            for x in "-" if ch in ground.DASHES else unicodedata.normalize("NFKC", ch):
+                if x.isspace() and out and out[-1] == " ":
+                    continue
+                out.append(" " if x.isspace() else x)
+                at.append(i)
+        return "".join(out), at
+
+    rng = random.Random(3)
+    pool = [chr(c) for c in [*range(0x20, 0x400), *range(0x1E00, 0x2200), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF60), 0x3000, 0x1F600, 0x1D400, 0xFDFA, 0xE0020, 0x30010, 0xAC01]] + [" ", "\t", "\n"] * 400
+    texts = ["", " ", "a\u00a8 b", *("".join(rng.choices(pool, k=rng.randrange(60))) for _ in range(800))]
+    got, at = ground.fold_all(texts)
+    assert [(g, list(a)) for g, a in zip(got, at)] == [brute(t) for t in texts]
 
 
 def test_gate_partitions_proposals(spark):
