@@ -1,20 +1,18 @@
-"""Quantities recorded in different units, brought to common units through a graph of spellings.
-
-The sources are the spellings in which a quantity is written: the wording around the number in the
-value's text, and the wordings in the fact's unit, currency and scale fields. The entity that links
-two sources is the fact itself: where a fact states its number in two spellings, the ratio of the two
-numbers estimates the factor between them. Per pair of spellings the median ratio is taken (robust to
-wrong rows), snapped to a known conversion, and kept only if it snaps. The codes of ``unit_list`` and
-the standard spellings below are the anchors; meanings flow from them along the edges, by majority of
-facts, until nothing changes in reach. Quantities carry no offset in any unit of the list, so the
-offset of a pair is zero by construction and only the scale is estimated.
+"""Quantities recorded in different units, brought to common units through a graph of sources.
+
+The sources are the spellings in which quantities are written: the wording around the number in a
+value's text, and the wordings in the fact's unit, currency and scale fields. Two sources are linked by
+the entities that both state: a fact that gives its number in its text and again in its fields, and
+claims (subject, measure, period) that several filings state. Per pair of sources the scale is the
+median ratio of the two numbers, snapped to a known conversion, and the offset the median residual,
+snapped to none (no unit of the list has an offset); pairs that do not snap, or whose facts mostly
+disagree with it, are no edges. Meanings start at the listed codes and flow along the edges, converted by
+each edge's scale and by majority of facts, until nothing changes. A standard spelling counts as one
+fact, so data outvote it. Wordings that no edge reaches are put together from two solved spellings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +35,16 @@ SPELLINGS = {
     "thousand": "thousand|thousands|k|'000", "lakh": "lakh|lakhs|lac|lacs", "million": "million|millions|mn|mio",
     "crore": "crore|crores|cr", "billion": "billion|billions|bn",
 }
-#: A spelling joins the vocabulary for taking compounds apart at this share of the facts; so there are fewer than its inverse.
-LEAST_SHARE = 1 / 20_000
-ROUNDS = 3
+#: A ratio, or a residual against the number, is taken for a known one within this share.
+CLOSE = 1e-3
+#: Least share of an edge's facts that must state the snapped conversion.
+AGREEMENT = 0.5
+#: Facts that claims of different filings must link two wordings by, as their numbers may differ for other reasons.
+LEAST_CLAIMS = 3
+#: Rows up to which the table of wordings is broadcast; a longer one is joined by shuffle with salts.
+BROADCAST_ROWS = 200_000
+MAX_ROUNDS = 64
+SLOTS = ("unit", "currency", "scale")
 _NUMBER = r"\(?\s*[-−+]?\s*\(?\s*\d[\d,]*(?:\.\d+)?\s*\)?"
 
 
@@ -68,11 +73,14 @@ def stated(sentence: Column) -> Column:
 
 
 def _claims(facts: DataFrame) -> DataFrame:
-    """Each step of the parse is a projection of its own, so no part of it is worked out twice."""
-    f = facts.filter("fact_type = 'numeric'").select(
-        "id", "block_id", "quote", "char_start", "char_end", F.col("value_number").alias("given"),
+    """(id, block_id, char_start, char_end, doc_id, claim_key, given, number, w_raw, w_unit, w_currency, w_scale,
+    w_quote): numeric facts by id. Wordings are read before repeats are dropped, so that no text is shuffled.
+    Each step of the parse is a projection of its own, so no part of it is worked out twice."""
+    own = [c if c in facts.columns else F.lit(None).cast("string").alias(c) for c in ("doc_id", "claim_key")]
+    f = facts.filter("fact_type = 'numeric' and id is not null").select(
+        "id", "block_id", "quote", "char_start", "char_end", *own, F.col("value_number").alias("given"),
         squash(plain(F.col("value_raw"))).alias("raw"),
-        *[wording(F.col(f"value_{s}")).alias(f"w_{s}") for s in ("unit", "currency", "scale")],
+        *[wording(F.col(f"value_{s}")).alias(f"w_{s}") for s in SLOTS],
     )
     f = f.withColumn("token", F.nullif(F.regexp_extract("raw", _NUMBER, 0), F.lit("")))
     at = F.instr("raw", F.col("token"))
@@ -83,146 +91,203 @@ def _claims(facts: DataFrame) -> DataFrame:
             "w_raw": wording(F.when(F.col("token").isNull(), F.col("raw")).when(at > 0, around)),
         }
     )
-    return f.drop("raw", "token")
+    f = f.filter("number is not null").withColumn("w_quote", F.when(_bare(), stated(F.col("quote"))))
+    return f.drop("raw", "token", "quote").dropDuplicates(["id"])
 
 
-def _anchors(units: DataFrame) -> DataFrame:
-    """(w, slot, code): codes of the list and their standard spellings."""
-    spark = units.sparkSession
-    rows = [(s, code) for code, ss in SPELLINGS.items() for s in ss.split("|")]
-    known = spark.createDataFrame(rows, "w string, code string")
-    listed = units.select("unit", F.when(F.col("dimension") == "scale", "scale").when(F.col("dimension") == "money", "currency").otherwise("unit").alias("slot"))
-    own = listed.select(F.lower("unit").alias("w"), "slot", F.col("unit").alias("code"))
-    return own.unionByName(known.join(F.broadcast(listed), known["code"] == listed["unit"]).select("w", "slot", "code")).distinct()
-
-
-def spelling_edges(claims: DataFrame, units: DataFrame) -> DataFrame:
-    """(w_raw, slot, w, n, factor): pairs of spellings that name one quantity, with the snapped ratio of
-    their numbers. Pairs whose median ratio is no known conversion are left out."""
-    slots = F.explode(
-        F.filter(
-            F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"w_{s}").alias("w")) for s in ("unit", "currency", "scale")]),
-            lambda x: x["w"].isNotNull(),
-        )
-    )
-    seen = claims.filter("w_raw is not null and given is not null and given != 0").select(
-        "w_raw", (F.col("number").cast("double") / F.col("given")).alias("ratio"), slots.alias("x")
-    )
-    e = seen.groupBy("w_raw", F.col("x.slot").alias("slot"), F.col("x.w").alias("w")).agg(
-        F.count("*").alias("n"), F.percentile_approx("ratio", 0.5, 1000).alias("ratio")
+def _bare() -> Column:
+    """No unit or currency in the text and the fields; a scale word alone names none."""
+    scales = [w for c in ("thousand", "lakh", "million", "crore", "billion") for w in SPELLINGS[c].split("|")]
+    return F.coalesce("w_unit", "w_currency").isNull() & (F.col("w_raw").isNull() | F.col("w_raw").isin(scales))
+
+
+def _codes(units: DataFrame) -> DataFrame:
+    """(code, slot, kind, factor): the listed codes; codes of one kind convert into each other."""
+    slot = F.when(F.col("dimension") == "scale", "scale").when(F.col("dimension") == "money", "currency").otherwise("unit")
+    return units.filter("unit is not null").select(
+        F.col("unit").alias("code"), slot.alias("slot"), F.coalesce("common_unit", "dimension").alias("kind"), F.coalesce("factor", F.lit(1.0)).alias("factor")
+    ).dropDuplicates(["code"])
+
+
+def _anchors(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(w, slot, code) of the listed codes, and of their standard spellings."""
+    codes = _codes(units)
+    known = units.sparkSession.createDataFrame([(s, code) for code, ss in SPELLINGS.items() for s in ss.split("|")], "w string, code string")
+    listed = codes.select(F.lower("code").alias("w"), "slot", "code").dropDuplicates(["w", "slot"])
+    standard = known.join(F.broadcast(codes), "code").select("w", "slot", "code").distinct()
+    return listed, standard.join(listed, ["w", "slot"], "left_anti")
+
+
+def _conversions(codes: DataFrame) -> Column:
+    """Every ratio between two codes of one kind (the list of units is a fixed table of a few rows)."""
+    by_kind: dict[str, set[float]] = {}
+    for r in codes.select("kind", "factor").distinct().collect():
+        by_kind.setdefault(r["kind"], set()).add(r["factor"])
+    ratios = sorted({1.0} | {float(f"{x / y:.9g}") for fs in by_kind.values() for x in fs for y in fs} | {1 / f for f in by_kind.get("scale", ())})
+    return F.array(*map(F.lit, ratios))
+
+
+def _snapped_edges(seen: DataFrame, keys: list[str], codes: DataFrame, least: int = 1) -> DataFrame:
+    """(keys, n, factor) of ``seen(keys, x, y)``: robust scale of y against x, and offset, both snapped."""
+    close = lambda f: F.abs(F.col("ratio") / f - 1) < CLOSE
+    seen = seen.filter("x <> 0 and y <> 0").withColumn("ratio", F.col("y") / F.col("x"))
+    e = seen.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("ratio", 0.5, 1000).alias("ratio")).filter(F.col("n") >= least)
+    e = e.withColumn("factor", F.try_element_at(F.filter(_conversions(codes), close), F.lit(1))).filter("factor is not null").drop("ratio")
+    off = (F.col("y") - F.col("factor") * F.col("x")) / F.abs("y")
+    back = seen.join(e.withColumnsRenamed({k: f"_{k}" for k in keys}), [seen[k] == F.col(f"_{k}") for k in keys]).withColumn("off", off)
+    fit = back.groupBy(*keys, "n", "factor").agg(F.percentile_approx("off", 0.5, 1000).alias("offset"), F.count_if(F.abs("off") < CLOSE).alias("agreed"))
+    return fit.filter((F.abs("offset") < CLOSE) & (F.col("agreed") >= AGREEMENT * F.col("n"))).select(*keys, F.col("agreed").alias("n"), "factor")
+
+
+def field_edges(claims: DataFrame, codes: DataFrame) -> DataFrame:
+    """(w_raw, slot, w, scaled, n, factor): a text's wording and a field's spelling that state one quantity, the number
+    in the text being ``factor`` times the number in the fields. A unit beside a scale must agree as it is, as
+    nobody could tell whose factor it is; a currency converts into none, so its factor is the scale's, also
+    where the fields name no scale (``w`` is then empty). ``scaled``: the fields name a scale."""
+    entry = lambda slot, w: F.struct(F.lit(slot).alias("slot"), w.alias("w"))
+    none = F.when(F.col("w_currency").isNotNull() & F.col("w_scale").isNull(), F.lit(""))
+    named = F.filter(F.array(*[entry(s, F.col(f"w_{s}")) for s in SLOTS], entry("scale", none)), lambda x: x["w"].isNotNull())
+    seen = claims.filter("w_raw is not null and given is not null").select(
+        "w_raw", F.col("w_scale").isNotNull().alias("scaled"), F.col("given").alias("x"), F.col("number").cast("double").alias("y"), F.explode(named).alias("p")
     )
-    # the list of units is a fixed table of a few rows
-    conversions = F.array(*[F.lit(x) for x in sorted({1.0, *(r[0] for r in units.select("factor").filter("factor is not null").distinct().collect())})])
-    snapped = F.try_element_at(F.filter(conversions, lambda f: F.abs(F.col("ratio") / f - 1) < 1e-3), F.lit(1))
-    return e.withColumn("factor", snapped).filter("factor is not null")
-
-
-def _majority(df: DataFrame, *keys: str) -> DataFrame:
-    """The code with most facts per key; equal counts: the smaller code."""
-    votes = df.groupBy(*keys, "code").agg(F.sum("n").alias("n"))
-    best = votes.groupBy(*keys).agg(F.max_by("code", F.struct("n", F.hash("code"))).alias("code"), F.sum("n").alias("n"))
-    return best
-
-
-def solve_spellings(edges: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Meanings along the graph: (w, slot, code) of single spellings and (w_raw, slot, code) of whole wordings."""
-    fixed = _anchors(units)
-    known = fixed
-    same = edges.filter("factor = 1").select("w_raw", "slot", "w", "n")
-    for _ in range(ROUNDS):
-        whole = _majority(same.join(known, ["w", "slot"]), "w_raw", "slot").select("w_raw", "slot", "code")
-        learnt = _majority(same.join(whole, ["w_raw", "slot"]), "w", "slot").select("w", "slot", "code")
-        known = cut(fixed.unionByName(learnt.join(fixed, ["w", "slot"], "left_anti")))
-    return known, whole
-
-
-def _take_apart(vocabulary: dict[str, list[tuple[str, str]]]):
-    """Wording -> its codes per slot by longest spellings from the left; a rest that is no spelling voids it."""
-    longest = max(map(len, vocabulary), default=0)
-
-    def parse(w: str) -> dict[str, str]:
-        got: dict[str, str] = {}
-        i = 0
-        while i < len(w):
-            if not w[i].isalnum() and w[i] not in "₹$€£%'":
-                i += 1
-                continue
-            for j in range(min(len(w), i + longest), i, -1):
-                codes = vocabulary.get(w[i:j])
-                if codes and not (w[j - 1].isalpha() and j < len(w) and w[j].isalpha()):
-                    free = [(s, c) for s, c in codes if s not in got]
-                    if free:
-                        got[free[0][0]] = free[0][1]
-                        i = j
-                        break
-            else:
-                return {}
-        return got
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [parse(w) for w in pdf["w"]]
-            yield pd.DataFrame({"w": pdf["w"], **{s: pd.Series([g.get(s) for g in got], dtype=object) for s in ("unit", "currency", "scale")}})
-
-    return run
+    e = _snapped_edges(seen.select("w_raw", "p.slot", "p.w", "scaled", "x", "y"), ["w_raw", "slot", "w", "scaled"], codes)
+    e = e.filter(~((F.col("slot") == "unit") & F.col("scaled") & (F.col("factor") != 1)) & ~((F.col("w") == "") & (F.col("factor") == 1)))
+    return e.select("w_raw", "slot", "w", "scaled", "n", F.when(F.col("slot") == "currency", 1.0).otherwise(F.col("factor")).alias("factor"))
+
+
+def claim_edges(claims: DataFrame, codes: DataFrame) -> DataFrame:
+    """(w_raw, w, n, factor): two wordings of one claim in different filings. Every fact of a claim is linked with
+    the claim's first, so a claim with very many facts makes no pairs among them; a hot claim is salted."""
+    c = claims.filter("claim_key is not null and doc_id is not null and w_raw is not null").select("id", "claim_key", "doc_id", "w_raw", F.col("number").cast("double").alias("y"))
+    own = F.struct(F.col("doc_id").alias("d"), F.col("w_raw").alias("w"), F.col("y").alias("x"))
+    first = c.groupBy("claim_key").agg(F.min_by(own, F.struct("doc_id", "id")).alias("o"))
+    seen = salted_join(c, first, "claim_key", spread="id").filter("doc_id <> o.d and w_raw <> o.w").select("w_raw", "o.w", "o.x", "y")
+    back = seen.select(F.col("w").alias("w_raw"), F.col("w_raw").alias("w"), F.col("y").alias("x"), F.col("x").alias("y"))
+    return _snapped_edges(seen.unionByName(back), ["w_raw", "w"], codes, LEAST_CLAIMS)
+
+
+def _carried(votes: DataFrame, codes: DataFrame, by: Column) -> DataFrame:
+    """``votes(code, ...)`` with the code whose factor is ``by`` times as large; none such: no vote."""
+    c = F.broadcast(codes.select("code", "kind", F.col("factor").alias("f")))
+    t = F.broadcast(codes.select(F.col("code").alias("to"), F.col("kind").alias("k"), F.col("factor").alias("g")))
+    j = votes.withColumn("_by", by).join(c, "code")
+    return j.join(t, (F.col("kind") == F.col("k")) & (F.abs(F.col("g") / (F.col("f") * F.col("_by")) - 1) < CLOSE)).withColumn("code", F.col("to")).drop("kind", "k", "f", "g", "to", "_by")
+
+
+def _majority(votes: DataFrame, *keys: str) -> DataFrame:
+    """(keys, code, n, facts): the code with most votes per key; equal counts: the smaller code."""
+    v = votes.groupBy(*keys, "code").agg(F.sum("n").alias("n"), F.sum("facts").alias("facts"))
+    return v.groupBy(*keys).agg(F.min_by(F.struct("code", "n", "facts"), F.struct(-F.col("n"), "code")).alias("b")).select(*keys, "b.code", "b.n", "b.facts")
+
+
+def solve_spellings(fields: DataFrame, claims: DataFrame, units: DataFrame) -> DataFrame:
+    """(side, w, slot, code, n, facts): meanings of the fields' spellings (side ``field``) and of whole texts' wordings
+    (side ``text``), carried along ``field_edges`` and ``claim_edges`` until a round changes none of them.
+
+    ``facts`` counts the facts behind the code; it is 0 where only the standard spelling names it."""
+    spark = units.sparkSession
+    # the code of "no scale", so that a text's scale can be told from plain numbers in the fields
+    codes = _codes(units).unionByName(spark.createDataFrame([("", "scale", "scale", 1.0)], "code string, slot string, kind string, factor double"))
+    listed, standard = _anchors(units)
+    fixed = listed.unionByName(spark.createDataFrame([("", "scale", "")], "w string, slot string, code string")).withColumns({"n": F.lit(1).cast("long"), "facts": F.lit(1).cast("long")})
+    prior = standard.withColumns({"n": F.lit(1).cast("long"), "facts": F.lit(0).cast("long")})
+    known, whole, before = fixed.unionByName(prior), None, None
+    for _ in range(MAX_ROUNDS):
+        votes = _carried(fields.join(known.select("w", "slot", "code"), ["w", "slot"]), codes, 1 / F.col("factor")).select("w_raw", "slot", "code", "n")
+        if whole is not None:
+            alone = whole.groupBy("w").agg((F.count_if(F.col("slot") != "currency") == 1).alias("alone"))
+            near = claims.join(whole.select("w", "slot", "code"), "w").join(alone, "w").filter("factor = 1 or alone")
+            by = F.when(F.col("slot") == "currency", 1.0).otherwise(1 / F.col("factor"))
+            votes = votes.unionByName(_carried(near, codes, by).select("w_raw", "slot", "code", "n"))
+        texts = _majority(votes.withColumn("facts", F.col("n")), "w_raw", "slot")
+        # a field that stands for a scale as well, as the text has one and no field does, is no single spelling
+        held = texts.groupBy("w_raw").agg(F.bool_or((F.col("slot") == "scale") & (F.col("code") != "")).alias("held"))
+        single = fields.filter("w <> ''").join(held, "w_raw").filter("scaled or not held")
+        learnt = _carried(single.join(texts.select("w_raw", "slot", "code"), ["w_raw", "slot"]), codes, F.col("factor")).select("w", "slot", "code", "n", F.col("n").alias("facts"))
+        learnt = _majority(learnt.unionByName(prior.select("w", "slot", "code", "n", "facts")), "w", "slot").join(fixed, ["w", "slot"], "left_anti")
+        side = lambda df, s: df.select(F.lit(s).alias("side"), "w", "slot", "code", "n", "facts")
+        both = cut(side(texts.withColumnRenamed("w_raw", "w"), "text").unionByName(side(fixed, "field")).unionByName(side(learnt, "field")))
+        known, whole = both.filter("side = 'field'").drop("side"), both.filter("side = 'text'").drop("side")
+        now = tuple(both.agg(F.count("*"), F.sum(F.xxhash64("side", "w", "slot", "code").cast("decimal(38,0)"))).first())
+        if now == before:
+            return both
+        before = now
+    raise RuntimeError(f"meanings still changed after {MAX_ROUNDS} rounds")
+
+
+#: What may stand between two spellings.
+_EDGE_LEFT, _EDGE_RIGHT = r"^[\s/,;:\-)\]]+", r"[\s/,;:\-(\[]+$"
+
+
+def _put_together(wordings: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(w, codes per slot, n, facts) of wordings that are two spellings of different slots, by an equi-join on
+    both parts of every split. Wordings longer than two spellings and a separator cannot be any."""
+    longest = atoms.agg(F.coalesce(F.max(F.length("w")), F.lit(0))).first()[0]
+    trim = lambda c: F.regexp_replace(F.regexp_replace(c, _EDGE_LEFT, ""), _EDGE_RIGHT, "")
+    w = F.col("w")
+    cuts = F.sequence(F.lit(1), F.length("w") - 1)
+    s = wordings.filter((F.length("w") > 1) & (F.length("w") <= 2 * longest + 8)).select("w", F.explode(cuts).alias("i"))
+    s = s.select("w", F.substring(w, F.lit(1), F.col("i")).alias("a"), F.substring(w, F.col("i") + 1, F.length("w")).alias("b"))
+    s = s.filter(~(F.col("a").rlike(r"\p{L}$") & F.col("b").rlike(r"^\p{L}"))).select("w", trim(F.col("a")).alias("a"), trim(F.col("b")).alias("b")).distinct()
+    side = lambda p: atoms.select(F.col("w").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("slot", "code", "n", "facts")])
+    j = s.join(side("a"), "a").join(side("b"), "b").filter("a_slot <> b_slot and (a_slot = 'scale' or b_slot = 'scale')")
+    code = lambda slot: F.when(F.col("a_slot") == slot, F.col("a_code")).when(F.col("b_slot") == slot, F.col("b_code")).alias(slot)
+    return j.select("w", *map(code, SLOTS), F.least("a_n", "b_n").alias("n"), F.least("a_facts", "b_facts").alias("facts"))
 
 
 def meanings(claims: DataFrame, wordings: DataFrame, units: DataFrame) -> DataFrame:
-    """(w, unit, currency, scale): the codes of each distinct wording of ``wordings(w)``."""
-    edges = cut(spelling_edges(claims, units))
-    known, whole = solve_spellings(edges, units)
-    total = claims.agg(F.count("*")).scalar()
-    support = edges.groupBy("w", "slot").agg(F.sum("n").alias("n")).filter((F.col("n") >= 2) & (F.col("n") > total * LEAST_SHARE))
-    anchors = _anchors(units)
-    vocabulary: dict[str, list[tuple[str, str]]] = {}
-    # fewer than 1 / LEAST_SHARE spellings per slot besides the anchors, at any size
-    for r in anchors.unionByName(known.join(support, ["w", "slot"], "left_semi")).distinct().orderBy("w", "slot", "code").collect():
-        vocabulary.setdefault(r["w"], []).append((r["slot"], r["code"]))
-    parts = wordings.mapInPandas(_take_apart(vocabulary), "w string, unit string, currency string, scale string")
-    by_slot = [F.max(F.when(F.col("slot") == s, F.col("code"))).alias(f"g_{s}") for s in ("unit", "currency", "scale")]
-    graph = whole.groupBy(F.col("w_raw").alias("w")).agg(*by_slot)
-    solved = F.coalesce("unit", "currency", "scale").isNotNull()
-    pick = lambda s: F.when(solved, F.col(s)).otherwise(F.col(f"g_{s}")).alias(s)
-    return parts.join(graph, "w", "left").select("w", pick("unit"), pick("currency"), pick("scale"))
+    """(w, unit, currency, scale, solved_by): the codes of each distinct wording of ``wordings(w)``: a solved spelling
+    of its own, else two of them put together, else what the facts that use the whole wording say.
+    ``solved_by`` is ``graph`` where facts are behind every code, ``standard`` where a standard spelling stands alone."""
+    codes = _codes(units)
+    solved = solve_spellings(cut(field_edges(claims, codes)), cut(claim_edges(claims, codes)), units)
+    atoms = solved.filter("side = 'field' and w <> ''")
+    single = lambda slot: F.when(F.col("slot") == slot, F.col("code")).alias(slot)
+    own = wordings.join(atoms, "w").select("w", F.lit(1).alias("way"), *map(single, SLOTS), "n", "facts")
+    two = _put_together(wordings, atoms).select("w", F.lit(2).alias("way"), *SLOTS, "n", "facts")
+    # of a unit and a currency that facts name beside one wording, the one of more facts
+    of = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c)))
+    w = solved.filter("side = 'text'").groupBy("w").agg(*[of(s, "code").alias(s) for s in SLOTS], of("unit", "n").alias("un"), of("currency", "n").alias("cn"), F.min("n").alias("n"), F.min("facts").alias("facts"))
+    unit = F.col("currency").isNull() | (F.col("un") >= F.col("cn"))
+    whole = w.select("w", F.lit(3).alias("way"), F.when(unit, F.col("unit")).alias("unit"), F.when(~unit | F.col("unit").isNull(), F.col("currency")).alias("currency"), F.nullif("scale", F.lit("")).alias("scale"), "n", "facts")
+    every = own.unionByName(two).unionByName(whole.join(wordings, "w", "left_semi"))
+    best = every.groupBy("w").agg(F.min_by(F.struct(*SLOTS, "facts"), F.struct("way", -F.col("n"), *[F.coalesce(s, F.lit("~")) for s in SLOTS])).alias("b"))
+    return best.select("w", *[f"b.{s}" for s in SLOTS], F.when(F.col("b.facts") > 0, "graph").otherwise("standard").alias("solved_by"))
 
 
 def to_common_units(facts: DataFrame, blocks: DataFrame, units: DataFrame) -> DataFrame:
-    """(id, common_unit, common_value DECIMAL, named_in): each numeric fact whose unit or currency is named.
+    """(id, common_unit, common_value DECIMAL, named_in, solved_by): each numeric fact whose unit or currency is named.
 
     Each of unit, currency and scale is taken from the value's own text, else from the fact's fields,
     else from the quote, else from the quoted part of the block; a bare number for which none of them
-    names a unit or currency gives no row. ``facts`` has one row per id; null numbers, empty tables and
-    unknown wordings give no row. The sign is the text's: brackets or a minus.
+    names a unit or currency gives no row. Of facts that repeat an id and blocks that repeat a key one
+    counts. Null ids and numbers, empty tables and unknown wordings give no row. The sign is the text's:
+    brackets or a minus. ``doc_id`` and ``claim_key`` of the facts link filings, where given.
     """
-    claims = _claims(facts).filter("number is not null")
     names = ("w_raw", "w_unit", "w_currency", "w_scale")
-    scales = [w for c in ("thousand", "lakh", "million", "crore", "billion") for w in SPELLINGS[c].split("|")]
-    bare = F.coalesce("w_unit", "w_currency").isNull() & (F.col("w_raw").isNull() | F.col("w_raw").isin(scales))
-    c = claims.withColumn("w_quote", F.when(bare, stated(F.col("quote"))))
+    c = cut(_claims(facts))
     # only facts that still name nothing read their block
-    needy = c.filter(bare & F.col("w_quote").isNull())
+    needy = c.filter(_bare() & F.col("w_quote").isNull() & F.col("block_id").isNotNull()).select("id", "block_id", "char_start", "char_end")
     text = blocks.select(F.concat("doc_id", F.lit(":p"), "page_no", F.lit(":b"), "block_no").alias("block_id"), "text")
-    cited = needy.join(text, "block_id").select(
-        "id", stated(F.expr("substring(text, char_start + 1, char_end - char_start + 1)")).alias("w_block")
-    ).filter("w_block is not null")
-    # read several times below: only ids, numbers and wordings are kept
-    c = cut(c.drop("block_id", "quote", "char_start", "char_end").join(cited, "id", "left"))
+    quoted = stated(F.expr("substring(text, char_start + 1, char_end - char_start + 1)"))
+    cited = salted_join(needy, text, "block_id", spread="id").select("id", quoted.alias("w_block")).filter("w_block is not null").dropDuplicates(["id"])
+    c = cut(c.drop("block_id", "char_start", "char_end").join(cited, "id", "left"))
     every = [*names, "w_quote", "w_block"]
-    each = c.select(F.explode(F.array(*every)).alias("w")).filter("w is not null").distinct()
-    table = cut(meanings(c, cut(each), units))
-    facts_units = units.select("unit", "common_unit", "factor")
+    each = cut(c.select(F.explode(F.array(*every)).alias("w")).filter("w is not null").distinct())
+    table = cut(meanings(c, each, units))
     long = c.select("id", "number", F.posexplode(F.array(*every)).alias("source", "w")).filter("w is not null")
-    m = salted_join(long, table, "w", spread="id")
-    ranked = m.groupBy("id", "number").agg(
-        *[F.min(F.when(F.col(s).isNotNull(), F.struct("source", s))).alias(s) for s in ("unit", "currency", "scale")]
-    )
+    m = long.join(F.broadcast(table), "w") if table.count() <= BROADCAST_ROWS else salted_join(long, table, "w", spread="id")
+    ranked = m.groupBy("id", "number").agg(*[F.min(F.when(F.col(s).isNotNull(), F.struct("source", s, "solved_by"))).alias(s) for s in SLOTS])
     # a currency or unit in the value's text goes with the scale there or, where there is none, in the fields
-    thing = F.coalesce(F.when(F.col("unit.source") <= F.coalesce(F.col("currency.source"), F.lit(9)), F.col("unit.unit")), F.col("currency.currency"))
+    by_unit = F.col("unit.source") <= F.coalesce(F.col("currency.source"), F.lit(9))
+    sources = F.array(*map(F.lit, ["text", "fields", "fields", "fields", "quote", "block"]))
     ranked = ranked.select(
-        "id", "number", thing.alias("code"), F.col("scale.scale").alias("scale_code"),
-        F.element_at(F.array(*map(F.lit, ["text", "fields", "fields", "fields", "quote", "block"])), F.least(F.col("unit.source"), F.col("currency.source")) + 1).alias("named_in"),
+        "id", "number", F.coalesce(F.when(by_unit, F.col("unit.unit")), F.col("currency.currency")).alias("code"), F.col("scale.scale").alias("scale_code"),
+        F.element_at(sources, F.least(F.col("unit.source"), F.col("currency.source")) + 1).alias("named_in"),
+        F.coalesce(F.when(by_unit, F.col("unit.solved_by")), F.col("currency.solved_by")).alias("solved_by"),
     ).filter("code is not null")
-    u, s = F.broadcast(facts_units), F.broadcast(facts_units.select(F.col("unit").alias("scale_code"), F.col("factor").alias("scale_factor")))
-    out = ranked.join(u, ranked["code"] == facts_units["unit"]).join(s, "scale_code", "left")
+    listed = units.select("unit", "common_unit", "factor")
+    u, s = F.broadcast(listed), F.broadcast(listed.select(F.col("unit").alias("scale_code"), F.col("factor").alias("scale_factor")))
+    out = ranked.join(u, ranked["code"] == listed["unit"]).join(s, "scale_code", "left")
     factor = (F.col("factor").cast("decimal(22,8)") * F.coalesce(F.col("scale_factor"), F.lit(1.0)).cast("decimal(14,0)")).cast("decimal(22,8)")
-    return out.select("id", "common_unit", (F.col("number") * factor).alias("common_value"), "named_in")
+    return out.select("id", "common_unit", (F.col("number") * factor).alias("common_value"), "named_in", "solved_by")

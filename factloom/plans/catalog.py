@@ -8,16 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import intervals, units_graph
-from ..sources.tables import blocks, facts, table
+from ..sources.tables import table
 from . import ledger_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_QUANTITY = ("id", "doc_id", "block_id", "claim_key", "fact_type", "value_raw", "value_number", "value_unit", "value_currency", "value_scale", "evidence.quote", "evidence.char_start", "evidence.char_end")
+
+
+def _quantities(spark: SparkSession, root: str) -> DataFrame:
+    return units_graph.to_common_units(table(spark, root, "facts").select(*_QUANTITY), table(spark, root, "blocks"), table(spark, root, "unit_list"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    f = facts(spark, root, "block_id", "fact_type", "value_raw", "value_number", "value_unit", "value_currency", "value_scale", "evidence.quote", "evidence.char_start", "evidence.char_end")
-    found = units_graph.to_common_units(f.filter("id is not null"), blocks(spark, root), table(spark, root, "unit_list"))
-    return found.select("id", "common_unit", F.round("common_value", 0).cast("bigint").alias("common_value"))
+    return _quantities(spark, root).select("id", "common_unit", F.round("common_value", 0).cast("bigint").alias("common_value"))
+
+
+def p3_paths(spark: SparkSession, root: str) -> DataFrame:
+    """How many quantities were named where, and by what their unit was solved."""
+    return _quantities(spark, root).groupBy("named_in", "solved_by").agg(F.count("*").alias("facts"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -41,7 +51,7 @@ _ISLANDS = """
 
 
 def queries() -> dict[str, Query]:
-    qs = [p3_found, p5_found, p5_periods]
+    qs = [p3_found, p3_paths, p5_found, p5_periods]
     return ledger_queries.QUERIES | {q.__name__: q for q in qs}
 
 

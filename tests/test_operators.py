@@ -163,6 +163,40 @@ def test_units_through_the_graph(spark):
     assert got == want
 
 
+def test_meanings_flow_along_conversions(spark):
+    """Spellings known only through a factor, through other spellings, or through another filing's claim."""
+    units = spark.createDataFrame(UNITS, "unit string, dimension string, common_unit string, factor double")
+    schema = "id string, doc_id string, claim_key string, block_id string, fact_type string, value_raw string, value_number double, value_unit string, value_currency string, value_scale string, quote string, char_start int, char_end int"
+    rows = []
+
+    def row(raw, n=None, u=None, c=None, s=None, doc="d", claim=None):
+        rows.append((f"{len(rows):03}", doc, claim, "d:p1:b0", "numeric", raw, n, u, c, s, "", 0, 0))
+        return rows[-1][0]
+
+    want = {}
+    for k in (2.0, 3.0, 5.0):
+        want[row(f"{k} gorms", k * 1000, "kg")] = ("kg", k * 1000)  # gorms are tonnes, by the factor
+        want[row(f"{k} gorms", k, "gorm")] = ("kg", k * 1000)  # so gorm is tonnes too
+        want[row(f"{k} zill INR", k * 1e7, None, "inr")] = ("INR", k * 1e7)  # zill is crore: the fields have no scale
+        want[row(f"{k} plim", k, "dollem", None)] = None  # two unknowns
+        want[row(f"{k} temps", k * 1.8 + 32, "kg")] = None  # an offset is no conversion
+        want[row(f"{k} blarb", k, "kg", doc="a", claim=f"c{k}")] = ("kg", k)
+        want[row(f"{k} snarb", None, doc="b", claim=f"c{k}")] = ("kg", k)  # as another filing states the claim
+        want[row(f"{k} gorm")] = ("kg", k * 1000)
+        want[row(f"{k} mn gorm", k, "mn gorm")] = ("kg", k * 1e9)
+        want[row(f"{k} mn gorm", k, "gorm", None, "million")] = ("kg", k * 1e9)
+    blocks = spark.createDataFrame([], "doc_id string, page_no int, block_no int, text string")
+    df = spark.createDataFrame(rows + rows[:4], schema)
+    out = units_graph.to_common_units(df, blocks, units).collect()
+    got = {r.id: (r.common_unit, float(r.common_value)) for r in out}
+    # the facts' own fields still name kg where the text's wording is not solved
+    kept = {i: w for i, w in want.items() if w} | {i: ("kg", float(r[5].split()[0])) for i, r in zip(want, rows) if "temps" in r[5]}
+    assert got == kept and len(out) == len(got)
+    raw = {r[0]: r[5] for r in rows}
+    assert all((r.solved_by == "standard") == (" mn " in raw[r.id]) for r in out)  # no field says what mn is
+    assert units_graph.to_common_units(df.limit(0), blocks, units).count() == units_graph.to_common_units(df, blocks, units.limit(0)).count() == 0
+
+
 def test_salted_join(spark):
     left = spark.createDataFrame([("hot", i) for i in range(300)] + [("k", 1), (None, 2), ("none", 3)], "k string, i int")
     right = spark.createDataFrame([("hot", "H"), ("k", "K"), (None, "N")], "k string, v string")
