@@ -71,27 +71,54 @@ def test_leaks_against_brute_force(spark):
     dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = leaks.leaks(dd, ii)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and (100, 51) in want and (101, 51) in want
+    assert {(r.doc_id, r.item_id) for r in leaks.shared_runs(dd, ii).collect()} == want
     assert leaks.leaks(dd, ii.limit(0)).count() == 0 and leaks.leaks(dd.limit(0), ii).count() == 0
 
 
 def test_near_leaks_reach_their_recall(spark):
+    """Whole items with words replaced, inserted and left out, against the edit distance of every window."""
     rng = random.Random(4)
-    vocab = [f"v{i}" for i in range(500)]
-    items = [(i, " ".join(rng.choices(vocab, k=20))) for i in range(40)]
+    vocab = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([8, 20, 40])))) for i in range(60)]
     docs = []
-    for i, t in items:
-        w = t.split()
-        w[rng.randrange(20)] = "typo"
-        docs.append((i, " ".join(rng.choices(vocab, k=20) + w + rng.choices(vocab, k=20))))
-    hits = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 20, 1, 0.97).collect()
-    assert all(r.edits <= 1 for r in hits)
-    assert sum(r.doc_id == r.item_id for r in hits) >= 36 and all(r.doc_id == r.item_id for r in hits)
+    for d in range(300):
+        w = items[d % 60][1].split()
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], ["typo"], ["typo", w[i]]])
+        docs.append((d, " ".join(rng.choices(vocab, k=20) + w + rng.choices(vocab, k=20))))
+    want = {}
+    for d, t in docs:
+        for i, u in items:
+            x, y = t.split(), u.split()
+            e = leaks.allowed(0.1, len(y))
+            code = {w: k for k, w in enumerate({*x, *y})}
+            windows = np.array([[code[w] for w in x[k : k + len(y)]] for k in range(len(x) - len(y) + 1)])
+            least = leaks.edit_distances(windows, np.tile([code[w] for w in y], (len(windows), 1))).min() if len(windows) else 99
+            if least <= e:
+                want[d, i] = least
+    hits = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), None, 0.1).collect()
+    got = {(r.doc_id, r.item_id): r.edits for r in hits}
+    assert all(want.get(k, 99) <= e for k, e in got.items()) and sum(e > 0 for e in want.values()) > 60
+    assert len(got) >= 0.9 * len(want) and {k for k, e in want.items() if e == 0} <= set(got)
 
 
 def test_edit_distances():
     x = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4]])
     y = np.array([[1, 2, 3, 4], [2, 3, 4, 5], [9, 9, 9, 9]])
     assert leaks.edit_distances(x, y).tolist() == [0, 2, 4]
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 4, (200, 9)), rng.integers(0, 4, (200, 7))
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, q in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
+        return row[-1]
+
+    assert leaks.edit_distances(x, y).tolist() == [plain(a, b) for a, b in zip(x, y)]
 
 
 def test_hilbert_neighbours():
