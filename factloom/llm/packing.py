@@ -3,12 +3,13 @@
 A block's hashed word vector is projected to three dimensions; its cell's Hilbert index orders the
 blocks of a filing so that neighbours are alike. A range sort on (filing, index) cuts the order into
 partitions of even size, also within one very large filing; each partition packs its stretch of the
-curve, every block into the fullest open batch that still holds it.
+curve. Only the last OPEN batches are open at a time, so a batch holds neighbours of the curve: a block
+goes into the fullest of them that still holds it, and where a new one is opened beyond OPEN, the
+fullest is closed.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .unify import slices
 from .words import word_hashes
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 4096
+#: Batches open at a time: more of them leave less room, fewer keep nearer neighbours together.
+OPEN = 16
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -73,73 +77,90 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Packer:
-    """Open batches by room left; an item goes where it leaves least room, else opens a batch."""
-
-    def __init__(self, capacity: int) -> None:
-        self.capacity, self.room, self.opened = capacity, [], 0
-
-    def put(self, n: int) -> int:
-        i = bisect_left(self.room, (n, -1))
-        if i < len(self.room):
-            left, batch = self.room.pop(i)
-        else:
-            left, batch, self.opened = self.capacity, self.opened, self.opened + 1
-        if left > n:
-            insort(self.room, (left - n, batch))
-        return batch
+    """At most ``most`` open batches as [room, name]; an item goes where it leaves least room, else opens a batch."""
+
+    def __init__(self, capacity: int, most: int = OPEN) -> None:
+        self.capacity, self.most, self.open = capacity, most, []
+
+    def put(self, n: int, name: str) -> str:
+        """The name of the item's batch, its own where it opens one."""
+        best = None
+        for batch in self.open:
+            if n <= batch[0] and (best is None or batch[0] < best[0]):
+                best = batch
+        if best is None:
+            best = [self.capacity, name]
+            self.open.append(best)
+            if len(self.open) > self.most:
+                # never the new one, which is last and fullest only by being filled below
+                self.open.remove(min(self.open[:-1], key=lambda x: x[0]))
+        best[0] -= n
+        return best[1]
 
 
 def _pack(profiles: list[tuple[str, int]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc: object = object()
-        packers: dict[str, tuple[Packer, dict[int, str]]] = {}
+        packers: dict[str, Packer] = {}
+        place = 0
         for pdf in batches:
             rows = []
             for d, page, block, n in zip(pdf["doc_id"], pdf["page_no"], pdf["block_no"], pdf["n"]):
                 if d != doc:
-                    doc, packers = d, {p: (Packer(c), {}) for p, c in profiles}
-                for p, (packer, names) in packers.items():
+                    doc, place, packers = d, 0, {p: Packer(c) for p, c in profiles}
+                place += 1
+                for p, packer in packers.items():
                     cap = packer.capacity
                     for piece, start in enumerate(range(0, max(n, 1), cap)):
                         size = min(cap, n - start)
-                        b = packer.put(size)
                         # a batch is named by the piece that opened it
-                        name = names.setdefault(b, f"{p}:{d}:p{page}:b{block}:{piece}")
-                        rows.append((p, d, name, page, block, piece, start, start + size))
-            yield pd.DataFrame(rows, columns=["profile", "doc_id", "batch_id", "page_no", "block_no", "piece_no", "char_start", "char_end"])
+                        name = packer.put(size, f"{p}:{d}:p{page}:b{block}:{piece}")
+                        rows.append((p, d, name, page, block, piece, start, start + size, place))
+            yield pd.DataFrame(rows, columns=["profile", "doc_id", "batch_id", "page_no", "block_no", "piece_no", "char_start", "char_end", "place"])
 
     return run
 
 
 def batches(blocks: DataFrame, limits: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(profile, doc_id, batch_id, page_no, block_no, piece_no, char_start, char_end): every block of every
-    filing in a batch of each profile of ``limits(profile, capacity_chars)``.
+    """(profile, doc_id, batch_id, page_no, block_no, piece_no, char_start, char_end, place): every block of every
+    filing in a batch of each profile of ``limits(profile, capacity_chars)``; ``place`` numbers the blocks of the
+    filing's stretch of the curve.
 
     A batch holds blocks of one filing and at most its capacity. A block is cut only if it alone exceeds
     the capacity: into full pieces and a rest that shares a batch like any block. A block that comes
-    twice counts once; null and empty texts take no room and are placed too; blocks without a key are
-    left out; limits that are null or below 1 give no batches. The limits are a table of a few rows.
+    twice counts once (the shorter text); null and empty texts take no room and are placed too; blocks
+    without a key are left out; limits that are null or below 1 give no batches. The limits are a table of
+    a few rows.
     """
     profiles = [(r[0], int(r[1])) for r in limits.filter("profile is not null and capacity_chars >= 1").distinct().orderBy("profile").collect()]
-    b = blocks.filter("doc_id is not null and page_no is not null and block_no is not null").dropDuplicates(["doc_id", "page_no", "block_no"])
+    b = blocks.filter("doc_id is not null and page_no is not null and block_no is not null")
     keyed = b.select("doc_id", "page_no", "block_no", F.coalesce(F.length("text"), F.lit(0)).alias("n"), "text").mapInArrow(
         _keyed, "doc_id string, page_no int, block_no int, n int, hkey long"
     )
+    # texts stay where they are: repeats are dropped from lengths and keys; those are worked out once, as the range sort reads them twice
+    k = keyed.groupBy("doc_id", "page_no", "block_no").agg(F.min(F.struct("n", "hkey")).alias("x"))
+    k = cut(k.select("doc_id", "page_no", "block_no", "x.n", "x.hkey"))
     cols = ["doc_id", "hkey", "page_no", "block_no"]
     n = partitions or int(b.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = keyed.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-    schema = "profile string, doc_id string, batch_id string, page_no int, block_no int, piece_no int, char_start int, char_end int"
+    order = k.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    schema = "profile string, doc_id string, batch_id string, page_no int, block_no int, piece_no int, char_start int, char_end int, place int"
     return order.mapInPandas(_pack(profiles), schema)
 
 
 def room_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
-    """(profile, batches, chars, least_batches, fill): how full the batches are; ``least_batches`` is the sum over
-    filings of their characters divided by the capacity, rounded up, which no packing can go below."""
-    per_doc = packed.groupBy("profile", "doc_id").agg(F.count_distinct("batch_id").alias("b"), F.sum(F.col("char_end") - F.col("char_start")).alias("c"))
+    """(profile, batches, chars, least_batches, fill, stretch): how full the batches are; ``least_batches`` is the sum
+    over filings of their characters divided by the capacity, rounded up, which no packing can go below.
+    ``stretch`` is the median length of curve from a batch's first to its last block, in its own blocks: 1 where
+    a batch holds a piece of the curve without gaps."""
+    per_batch = packed.groupBy("profile", "doc_id", "batch_id").agg(
+        F.sum(F.col("char_end") - F.col("char_start")).alias("c"), ((F.max("place") - F.min("place") + 1) / F.count_distinct("place")).alias("s")
+    )
+    per_doc = per_batch.groupBy("profile", "doc_id").agg(F.count("*").alias("b"), F.sum("c").alias("c"))
     j = per_doc.join(F.broadcast(limits.select("profile", "capacity_chars").distinct()), "profile")
-    return j.groupBy("profile").agg(
+    room = j.groupBy("profile").agg(
         F.sum("b").alias("batches"),
         F.sum("c").alias("chars"),
         F.sum(F.greatest(F.ceil(F.col("c") / F.col("capacity_chars")), F.lit(1))).alias("least_batches"),
         (F.sum("c") / F.sum(F.col("b") * F.col("capacity_chars"))).alias("fill"),
     )
+    return room.join(per_batch.groupBy("profile").agg(F.percentile_approx("s", 0.5, 1000).alias("stretch")), "profile")
