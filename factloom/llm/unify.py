@@ -76,30 +76,48 @@ def tables() -> dict[str, np.ndarray]:
             if len(base) == 1 and unicodedata.combining(d[-1]):
                 pairs[ord(base) << 21 | ord(d[-1])] = cp
     keys = np.array(sorted(pairs), np.int64)
-    return {"first": first, "size": size, "flat": np.array(flat, np.int64), "ccc": ccc, "keys": keys, "to": np.array([pairs[k] for k in keys], np.int64)}
+    # by code point up to TOP, which stands for all above: stays (0), is another one (1), is none or several (2)
+    kind = np.full(TOP + 1, 2, np.uint8)
+    kind[:TOP][size == 1] = 1
+    kind[:TOP][(size == 1) & (np.array(flat, np.int64)[np.minimum(first, len(flat) - 1)] == np.arange(TOP))] = 0
+    jamo = np.zeros(TOP + 1, bool)
+    jamo[0x1161:0x1176] = jamo[0x11A8:0x11C3] = True
+    return {"kind": kind, "jamo": jamo, "mark": np.append(ccc > 0, False), "first": first, "size": size, "flat": np.array(flat, np.int64), "ccc": ccc, "keys": keys, "to": np.array([pairs[k] for k in keys], np.int64)}
 
 
 def _gather(cps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each code point replaced by its expansion; the rows' ends moved along."""
+    """Each code point replaced by its expansion; the rows' ends moved along. Most stay as they are: only the
+    others are looked up, and only where one becomes none or several do the rest move."""
     t = tables()
-    tags = (cps >= 0xE0000) & (cps < 0xE1000)
-    low = np.where(cps < TOP, cps, 0)
-    n = np.where(cps < TOP, t["size"][low], np.where(tags, 0, 1))
-    stops = np.cumsum(n)
-    total = int(stops[-1]) if len(stops) else 0
-    within = np.arange(total) - np.repeat(stops - n, n)
-    src = np.repeat(low, n)
-    out = t["flat"][t["first"][src] + within]
-    high = np.repeat(cps, n)
-    out = np.where(high >= TOP, high, out)
-    return out, np.concatenate([[0], stops])[ends]
+    kind = t["kind"][np.minimum(cps, TOP)]
+    one, odd = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+    out = cps.copy()
+    out[one] = t["flat"][t["first"][cps[one]]]
+    if not len(odd):
+        return out, ends
+    c = cps[odd]
+    low = np.minimum(c, TOP - 1)
+    n = np.where(c < TOP, t["size"][low], np.where((c >= 0xE0000) & (c < 0xE1000), 0, 1)).astype(np.int64)
+    counts = np.ones(len(cps), np.int64)
+    counts[odd] = n
+    moved = np.concatenate([[0], np.cumsum(n - 1)])
+    out = np.repeat(out, counts)
+    at, first = odd + moved[:-1], t["first"][low]
+    for k in range(int(n.max())):
+        more = (n > k) & (c < TOP)
+        out[at[more] + k] = t["flat"][first[more] + k]
+    return out, ends + moved[np.searchsorted(odd, ends)]
 
 
 def _compose(cps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     t = tables()
-    ccc = np.where(cps < TOP, t["ccc"][np.where(cps < TOP, cps, 0)], 0).astype(np.int64)
-    marks = np.flatnonzero(ccc)
+    low = np.minimum(cps, TOP)
+    marks, jamo = np.flatnonzero(t["mark"][low]), np.flatnonzero(t["jamo"][low])
+    if not len(marks) and not len(jamo):
+        return cps, ends
     keep = np.ones(len(cps), bool)
+    ccc = np.zeros(len(cps), np.int64)
+    ccc[marks] = t["ccc"][cps[marks]]
     if len(marks):
         row = np.searchsorted(ends, marks, side="right")
         head = np.diff(marks, prepend=-2) != 1
@@ -126,17 +144,18 @@ def _compose(cps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             cps[starter[g[hit]]] = t["to"][k[hit]]
             keep[at[hit]] = False
             last[g[~hit]] = ccc[at[~hit]]
-    # Hangul by its arithmetic: lead + vowel, then syllable + tail
-    inner = np.ones(max(len(cps) - 1, 0), bool)
-    inner[ends[(ends > 0) & (ends < len(cps))] - 1] = False
-    lv = np.flatnonzero((cps[:-1] >= 0x1100) & (cps[:-1] < 0x1113) & (cps[1:] >= 0x1161) & (cps[1:] < 0x1176) & inner)
-    if len(lv):
-        cps[lv + 1] = 0xAC00 + ((cps[lv] - 0x1100) * 21 + cps[lv + 1] - 0x1161) * 28
-        keep[lv] = False
-    tail = np.flatnonzero((cps[:-1] >= 0xAC00) & (cps[:-1] < 0xD7A4) & ((cps[:-1] - 0xAC00) % 28 == 0) & (cps[1:] > 0x11A7) & (cps[1:] < 0x11C3) & inner)
-    if len(tail):
-        cps[tail + 1] = cps[tail] + cps[tail + 1] - 0x11A7
-        keep[tail] = False
+    if len(jamo):
+        # Hangul by its arithmetic: lead + vowel, then syllable + tail
+        inner = np.ones(max(len(cps) - 1, 0), bool)
+        inner[ends[(ends > 0) & (ends < len(cps))] - 1] = False
+        lv = np.flatnonzero((cps[:-1] >= 0x1100) & (cps[:-1] < 0x1113) & (cps[1:] >= 0x1161) & (cps[1:] < 0x1176) & inner)
+        if len(lv):
+            cps[lv + 1] = 0xAC00 + ((cps[lv] - 0x1100) * 21 + cps[lv + 1] - 0x1161) * 28
+            keep[lv] = False
+        tail = np.flatnonzero((cps[:-1] >= 0xAC00) & (cps[:-1] < 0xD7A4) & ((cps[:-1] - 0xAC00) % 28 == 0) & (cps[1:] > 0x11A7) & (cps[1:] < 0x11C3) & inner)
+        if len(tail):
+            cps[tail + 1] = cps[tail] + cps[tail + 1] - 0x11A7
+            keep[tail] = False
     return cps[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
 
 
@@ -145,9 +164,12 @@ def unify_points(cps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     cps, ends = _compose(*_gather(cps, ends))
     if len(cps):
         space = cps == 0x20
-        again = np.concatenate([[False], space[1:] & space[:-1]])
-        again[ends[ends < len(cps)]] = False  # each row begins anew
-        cps, ends = cps[~again], np.concatenate([[0], np.cumsum(~again)])[ends]
+        again = np.flatnonzero(space[1:] & space[:-1]) + 1
+        again = again[~np.isin(again, ends)]  # each row begins anew
+        if len(again):
+            keep = np.ones(len(cps), bool)
+            keep[again] = False
+            cps, ends = cps[keep], ends - np.searchsorted(again, ends)
     return cps, ends
 
 

@@ -31,7 +31,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         word[cp] = unicodedata.category(ch)[0] in "LNM"
         if len(low := ch.lower()) == 1:
             lower[cp] = ord(low)
-    return lower, word
+    # TOP stands for all above
+    return np.append(lower, TOP), np.append(word, False)
+
+
+_powers: list[np.ndarray] = []
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the multiplier and of its inverse, kept for the next call."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, p)]).astype(np.uint64), dtype=np.uint64) for p in (_P, _P_INV)]
+    return _powers[0][:n], _powers[1][:n]
 
 
 def word_hashes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +58,9 @@ def word_spans(arr: pa.Array) -> tuple[np.ndarray, ...]:
     """(hashes, word ends by row, first and end code point of each word, code points, their row ends)."""
     lower, word = _tables()
     cps, ends = unify_points(*points(arr))
-    low = np.where(cps < TOP, cps, 0)
-    cps, is_word = np.where(cps < TOP, lower[low], cps), np.where(cps < TOP, word[low], False)
+    low = np.minimum(cps, TOP)
+    is_word, high = word[low], cps >= TOP
+    cps = np.where(high, cps, lower[low]) if high.any() else lower[low]
     begin = is_word.copy()
     begin[1:] &= ~is_word[:-1]
     fresh = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
@@ -58,8 +70,7 @@ def word_spans(arr: pa.Array) -> tuple[np.ndarray, ...]:
     stop[:-1] &= ~is_word[1:] | begin[1:]
     s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(len(cps) - 1, 0), _P)]).astype(np.uint64), dtype=np.uint64)[: len(cps)]
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(len(cps) - 1, 0), _P_INV)]).astype(np.uint64), dtype=np.uint64)[: len(cps)]
+        power, back = _powers_of(len(cps))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(cps.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
         hashes = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64)) if len(s) else np.zeros(0, np.uint64)
     return hashes, np.searchsorted(s, ends, side="left"), s, e, cps, ends
