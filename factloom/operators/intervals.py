@@ -98,14 +98,19 @@ def _final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _frame(maps)
 
 
+def merged_per_task(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(k, s, e) in days: each task's intervals, merged per key."""
+    return _keyed(df, key, start, end).mapInPandas(_partial, "k string, s int, e int")
+
+
 def periods(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, period_start, period_end, period_no): the maximal continuous stretches of each key.
+    """(key, period_start, period_end): the maximal continuous stretches of each key.
 
     Half-open, null = unbounded. Null keys, intervals with both ends null and intervals with an end not
     after their start are left out. Repeated and nested intervals change nothing; an empty table gives
     no rows. Other columns are ignored.
     """
-    merged = _keyed(df, key, start, end).mapInPandas(_partial, "k string, s int, e int")
+    merged = merged_per_task(df, key, start, end)
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     done = merged.repartition(n, "k").sortWithinPartitions("k").mapInPandas(_final, "k string, s int, e int")
     day = lambda c, none: F.when(F.col(c) != none, F.date_add(F.lit("1970-01-01").cast("date"), F.col(c)))
@@ -129,7 +134,7 @@ def _gap_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def gaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, gap_start, gap_end): the stretches between a key's intervals that none covers, as
     ``yyyy-MM-dd``. Touching intervals leave no gap; a key with one period has none. See ``periods``."""
-    merged = _keyed(df, key, start, end).mapInPandas(_partial, "k string, s int, e int")
+    merged = merged_per_task(df, key, start, end)
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = merged.repartition(n, "k").sortWithinPartitions("k").mapInPandas(_gap_rows, "k string, s int, e int")
     day = lambda c: F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col(c)), "yyyy-MM-dd")

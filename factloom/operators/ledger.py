@@ -44,10 +44,6 @@ class Ledger:
         p = jvm.org.apache.hadoop.fs.Path(self.path(name))
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def remove(self, folder: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
     def read(self, name: str) -> DataFrame | None:
         return self.spark.read.option("mergeSchema", "true").parquet(self.path(name)) if self.exists(name) else None
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals, units_graph
 from ..sources.tables import table
+from ..streaming.intervals import gaps_through_state
 from . import ledger_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +32,7 @@ def p3_paths(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return intervals.gaps(table(spark, root, "facts"), "loose_key", "validity_start", "validity_end")
+    return gaps_through_state(table(spark, root, "facts"), "loose_key", "validity_start", "validity_end")
 
 
 def p5_periods(spark: SparkSession, root: str) -> DataFrame:

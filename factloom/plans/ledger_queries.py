@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, names, periods, text, units
 from ..operators import ground, layout, ledger, link, reconcile
-from ..session import cut
+from ..session import cut, shared_folder
 from ..sources.tables import blocks, facts, table
 from . import sqlx as S
 
@@ -497,25 +497,18 @@ _DELIVERY = f"""d AS (SELECT doc_id, min(ingested_at) AS arrived FROM filings GR
 def incremental_ingest(spark: SparkSession, root: str) -> DataFrame:
     """All facts through the streaming ingestion into a fresh ledger of the shared folder, in _STEPS deliveries
     by the filings' order of ingestion (facts of unknown filings come first); every stored relation."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
     from ..streaming.ingest import ingest_stream
 
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ledger-{uuid.uuid4().hex}"
-    led = ledger.Ledger(spark, base + "/tables")
     at = table(spark, root, "filings").groupBy("doc_id").agg(F.min("ingested_at").alias("at"))
     # the filings' dates are few beside the facts; ntile needs them in one order
     step = at.select("doc_id", F.ntile(_STEPS).over(Window.orderBy(F.asc_nulls_last("at"), "doc_id")).alias("step"))
     arrived = cut(table(spark, root, "facts").join(step, "doc_id", "left").withColumn("step", F.coalesce("step", F.lit(1))))
-    try:
+    with shared_folder(spark) as base:
+        led = ledger.Ledger(spark, base + "/tables")
         for n in range(1, _STEPS + 1):
             arrived.filter(F.col("step") == n).drop("step").write.mode("append").parquet(base + "/arrivals")
             ingest_stream(spark, base + "/arrivals", led, base + "/progress").awaitTermination()
         return cut(led.read("relations").select("fact_a_id", "fact_b_id", "type", "reason_code", "confidence"))
-    finally:
-        led.remove(base)
 
 
 _HEADERS = ["FY24", "fy 23", "Consolidated 2024", "Standalone", "Year ended March 31, 2023", "Q4 FY24", "", "Particulars 2019"]

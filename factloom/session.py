@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +17,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -42,3 +46,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: lineage is cut in the shared folder, so lost executors do no harm."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+@contextmanager
+def shared_folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder beside the checkpoints, which all executors share; it is removed at the end."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/work-{uuid.uuid4().hex}"
+    try:
+        yield base
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

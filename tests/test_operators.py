@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators import ground, intervals, layout, ledger, skew, units_graph
 from factloom.plans import ledger_queries
 from factloom.session import cut
+from factloom.streaming.intervals import gaps_through_state
 
 
 def test_interval_map_against_days():
@@ -39,6 +40,8 @@ def test_gaps_and_periods(spark):
     df = spark.createDataFrame(rows, "k string, s date, e date, period_start string")
     got = {tuple(r) for r in intervals.gaps(df.repartition(3), "k", "s", "e").collect()}
     assert got == want["a"] | want["b"] | want["hot"] | {("open", str(d(3)), str(d(9)))}
+    assert {tuple(r) for r in gaps_through_state(df.repartition(3), "k", "s", "e").collect()} == got
+    assert gaps_through_state(df.limit(0), "k", "s", "e").count() == 0
     p = intervals.periods(df, "k", "s", "e").filter("k = 'open'").orderBy(F.asc_nulls_first("period_start")).collect()
     assert [tuple(r) for r in p] == [("open", None, d(3)), ("open", d(9), None)]
     assert intervals.gaps(df.limit(0), "k", "s", "e").count() == 0
