@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain, squash
-from ..session import cut
+from ..session import cut, written
 from .skew import salted_join
 
 #: Standard spellings (lower case, without dots) of the codes in unit lists.
@@ -192,27 +192,28 @@ def solve_spellings(fields: DataFrame, claims: DataFrame, units: DataFrame) -> D
     fixed = listed.unionByName(spark.createDataFrame([("", "scale", "")], "w string, slot string, code string")).withColumns({"n": F.lit(1).cast("long"), "facts": F.lit(1).cast("long")})
     prior = standard.withColumns({"n": F.lit(1).cast("long"), "facts": F.lit(0).cast("long")})
     known, whole, before = fixed.unionByName(prior), None, None
-    for _ in range(MAX_ROUNDS):
-        votes = _carried(fields.join(known.select("w", "slot", "code"), ["w", "slot"]), codes, 1 / F.col("factor")).select("w_raw", "slot", "code", "n")
-        if whole is not None:
-            alone = whole.groupBy("w").agg((F.count_if(F.col("slot") != "currency") == 1).alias("alone"))
-            near = claims.join(whole.select("w", "slot", "code"), "w").join(alone, "w").filter("factor = 1 or alone")
-            by = F.when(F.col("slot") == "currency", 1.0).otherwise(1 / F.col("factor"))
-            votes = votes.unionByName(_carried(near, codes, by).select("w_raw", "slot", "code", "n"))
-        texts = _majority(votes.withColumn("facts", F.col("n")), "w_raw", "slot")
-        # a field that stands for a scale as well, as the text has one and no field does, is no single spelling
-        held = texts.groupBy("w_raw").agg(F.bool_or((F.col("slot") == "scale") & (F.col("code") != "")).alias("held"))
-        single = fields.filter("w <> ''").join(held, "w_raw").filter("scaled or not held")
-        learnt = _carried(single.join(texts.select("w_raw", "slot", "code"), ["w_raw", "slot"]), codes, F.col("factor")).select("w", "slot", "code", "n", F.col("n").alias("facts"))
-        learnt = _majority(learnt.unionByName(prior.select("w", "slot", "code", "n", "facts")), "w", "slot").join(fixed, ["w", "slot"], "left_anti")
-        side = lambda df, s: df.select(F.lit(s).alias("side"), "w", "slot", "code", "n", "facts")
-        both = cut(side(texts.withColumnRenamed("w_raw", "w"), "text").unionByName(side(fixed, "field")).unionByName(side(learnt, "field")))
-        known, whole = both.filter("side = 'field'").drop("side"), both.filter("side = 'text'").drop("side")
-        now = tuple(both.agg(F.count("*"), F.sum(F.xxhash64("side", "w", "slot", "code").cast("decimal(38,0)"))).first())
-        if now == before:
-            return both
-        before = now
-    raise RuntimeError(f"meanings still changed after {MAX_ROUNDS} rounds")
+    with written(spark) as keep:
+        for _ in range(MAX_ROUNDS):
+            votes = _carried(fields.join(known.select("w", "slot", "code"), ["w", "slot"]), codes, 1 / F.col("factor")).select("w_raw", "slot", "code", "n")
+            if whole is not None:
+                alone = whole.groupBy("w").agg((F.count_if(F.col("slot") != "currency") == 1).alias("alone"))
+                near = claims.join(whole.select("w", "slot", "code"), "w").join(alone, "w").filter("factor = 1 or alone")
+                by = F.when(F.col("slot") == "currency", 1.0).otherwise(1 / F.col("factor"))
+                votes = votes.unionByName(_carried(near, codes, by).select("w_raw", "slot", "code", "n"))
+            texts = _majority(votes.withColumn("facts", F.col("n")), "w_raw", "slot")
+            # a field that stands for a scale as well, as the text has one and no field does, is no single spelling
+            held = texts.groupBy("w_raw").agg(F.bool_or((F.col("slot") == "scale") & (F.col("code") != "")).alias("held"))
+            single = fields.filter("w <> ''").join(held, "w_raw").filter("scaled or not held")
+            learnt = _carried(single.join(texts.select("w_raw", "slot", "code"), ["w_raw", "slot"]), codes, F.col("factor")).select("w", "slot", "code", "n", F.col("n").alias("facts"))
+            learnt = _majority(learnt.unionByName(prior.select("w", "slot", "code", "n", "facts")), "w", "slot").join(fixed, ["w", "slot"], "left_anti")
+            side = lambda df, s: df.select(F.lit(s).alias("side"), "w", "slot", "code", "n", "facts")
+            both = keep(side(texts.withColumnRenamed("w_raw", "w"), "text").unionByName(side(fixed, "field")).unionByName(side(learnt, "field")))
+            known, whole = both.filter("side = 'field'").drop("side"), both.filter("side = 'text'").drop("side")
+            now = tuple(both.agg(F.count("*"), F.sum(F.xxhash64("side", "w", "slot", "code").cast("decimal(38,0)"))).first())
+            if now == before:
+                return cut(both)
+            before = now
+        raise RuntimeError(f"meanings still changed after {MAX_ROUNDS} rounds")
 
 
 #: What may stand between two spellings.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +58,20 @@ def shared_folder(spark: SparkSession) -> Iterator[str]:
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(base)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def written(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that cuts lineage by a table in the shared folder, for loops of joins: a checkpoint keeps the
+    estimated size of its plan, which a loop multiplies until planning takes longer than the work, while a
+    table has the size of its files. The tables are removed at the end: what leaves must be ``cut``."""
+    with shared_folder(spark) as base:
+        n = 0
+
+        def keep(df: DataFrame) -> DataFrame:
+            nonlocal n
+            n += 1
+            df.write.parquet(f"{base}/{n}")
+            return spark.read.schema(df.schema).parquet(f"{base}/{n}")
+
+        yield keep
