@@ -20,13 +20,11 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Longer texts are encoded in pieces that end before a space, where the tokenizer splits anyway.
-PIECE = 50_000
 GRID = 41
 
 
 def count_tokens(c: Column | str, path: str = TOKENIZER) -> Column:
-    """Tokens of a text under a public byte-level BPE vocabulary; null and empty texts have none."""
+    """Tokens of a whole text under a public byte-level BPE vocabulary; null and empty texts have none."""
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -39,17 +37,9 @@ def count_tokens(c: Column | str, path: str = TOKENIZER) -> Column:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-        def pieces(t: str) -> Iterator[str]:
-            at = 0
-            while len(t) - at > PIECE:
-                end = t.rfind(" ", at + 1, at + PIECE)
-                end = end if end > at else at + PIECE
-                yield t[at:end]
-                at = end
-            yield t[at:]
-
         for texts in batches:
-            yield pd.Series([sum(len(enc.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in texts], dtype="int64")
+            known = texts.fillna("")
+            yield pd.Series([len(x) for x in enc.encode_ordinary_batch(known.to_list(), num_threads=1)], dtype="int64")
 
     return run(c)
 
@@ -112,14 +102,26 @@ def plan(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, f
         x["goal"] = total * x["target_share"] / whole
         lam = rate_for(x["goal"] / have[x["source"]], x["max_repeats"])
         x["grid"] = [lam * float(f) for f in np.linspace(0.9, 1.1, GRID)]
-        grid += [(x["source"], i, cdf(g, x["max_repeats"])) for i, g in enumerate(x["grid"])]
-    steps = docs.sparkSession.createDataFrame(grid, "source string, i int, steps array<double>")
-    per = counted.withColumn("u", _uniform(F.col("doc_id"), seed)).join(F.broadcast(steps.groupBy("source").agg(F.collect_list(F.struct("i", "steps")).alias("g"))), "source")
-    given = per.select("source", "n", "u", F.explode("g").alias("g")).groupBy("source", "g.i").agg(F.sum(F.col("n") * _copies(F.col("u"), F.col("g.steps"))).alias("tokens")).collect()
+        steps = [cdf(g, x["max_repeats"]) for g in x["grid"]]
+        # a mean's mix changes where u passes one of its steps: tokens are added up between all means' steps
+        x["edges"] = sorted({s for g in steps for s in g})
+        grid.append((x["source"], x["edges"]))
+    edges = docs.sparkSession.createDataFrame(grid, "source string, edges array<double>")
+    at = F.size(F.filter("edges", lambda e: F.col("u") >= e))
+    per = counted.withColumn("u", _uniform(F.col("doc_id"), seed)).join(F.broadcast(edges), "source").groupBy("source", at.alias("at")).agg(F.sum("n").alias("n"))
+    held = {(r["source"], r["at"]): r["n"] or 0 for r in per.collect()}
+    given = []
+    for x in t:
+        for i, g in enumerate(x["grid"]):
+            steps = cdf(g, x["max_repeats"])
+            # behind ``at`` edges u is at least the last of them and below the next
+            copies = [sum(s <= e for s in steps) for e in [-1.0, *x["edges"]]]
+            given.append({"source": x["source"], "i": i, "tokens": sum(held.get((x["source"], k), 0) * c for k, c in enumerate(copies))})
     for x in t:
         near = min((r for r in given if r["source"] == x["source"]), key=lambda r: (abs(r["tokens"] - x["goal"]), r["i"]))
         x["rate"], x["tokens"] = x["grid"][near["i"]], near["tokens"]
         x["steps"] = cdf(x["rate"], x["max_repeats"])
+        del x["edges"]
     return t, counted
 
 

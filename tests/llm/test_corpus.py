@@ -14,6 +14,28 @@ def test_capped_poisson():
             assert abs(draws.mean() - mean) < 0.02
 
 
+def test_whole_texts_are_counted(spark):
+    """A text's tokens do not depend on where it could be cut: joined texts count as the tokenizer counts the whole."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(mixing.TOKENIZER, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
+    texts = ["ab" * 40_000, "x" + " " * 70_000 + "y", "word " * 30_000, "", None, "a<|endoftext|>b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.n for r in df.select("i", mixing.count_tokens("t").alias("n")).collect()}
+    assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
+
+
+def test_the_plan_adds_up_what_the_mix_holds(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, rng.choice("ab"), "word " * rng.randrange(1, 40)) for i in range(800)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 5)], "source string, target_share double, max_repeats int")
+    chosen, _ = mixing.plan(df, targets)
+    assert {x["source"]: x["tokens"] for x in chosen} == {r.source: r.tokens for r in mixing.shares(df, targets).collect()}
+
+
 def test_mix_meets_its_shares(spark):
     rng = random.Random(8)
     docs = [(i, rng.choice(["big"] * 6 + ["mid"] * 3 + ["small"]), "word " * rng.randrange(1, 60)) for i in range(3000)] + [(9001, None, "x"), (9002, "other", "x"), (9003, "big", None), (9004, "big", "")]
