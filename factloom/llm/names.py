@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squash
 from ..operators.skew import salted_join
-from ..session import cut
+from ..session import cut, written
 from .unify import unify
 
 #: Common English and Indian short names and the full name.
@@ -50,6 +50,13 @@ TRADES = {
 TITLES = "m/s messrs dr prof adv mr mrs ms shri smt sri sir er ca".split()
 LEGAL = "private pvt limited ltd llp inc plc corp co lp gmbh".split()
 SELF = {"company"}
+#: Words from this length on may be a trade word or legal form with a typo; shorter ones are too often another word.
+TYPO_WORD = 5
+#: Rewritings from this length on (letters and separators) may be each other's typo; shorter ones differ by a letter too easily.
+TYPO_KEY = 9
+#: Names up to so many words have all their initial forms as rewritings (2 to that power); longer ones are met by
+#: all their initials and checked word by word, which for so many letters is as rare.
+SPELT_OUT = 5
 _FULL = {n: full for full, ns in NICKNAMES.items() for n in ns.split()}
 _TRADE = {a: full for full, ab in TRADES.items() for a in [full, *ab.split()]}
 
@@ -70,20 +77,20 @@ def within_one(a: str, b: str) -> bool:
 
 _by_trade_letter: dict[str, list[str]] = {}
 for _t in TRADES:
-    if len(_t) > 4:
+    if len(_t) >= TYPO_WORD:
         _by_trade_letter.setdefault(_t[0], []).append(_t)
 
 
 def _trade(word: str) -> str | None:
     full = _TRADE.get(word)
-    if full is None and len(word) > 4:
+    if full is None and len(word) >= TYPO_WORD:
         near = _by_trade_letter.get(word[0], [])
         full = next((t for t in near if within_one(t, word)), None) or next((t for ts in _by_trade_letter.values() for t in ts if within_one(t, word)), None)
     return full
 
 
 def _is_legal(word: str) -> bool:
-    return word in LEGAL or len(word) > 4 and (within_one(word, "limited") or within_one(word, "private"))
+    return word in LEGAL or len(word) >= TYPO_WORD and (within_one(word, "limited") or within_one(word, "private"))
 
 
 def rewrite(form: str, kind: str | None = None) -> tuple[str, str, list[str]] | None:
@@ -121,7 +128,7 @@ def rewrite(form: str, kind: str | None = None) -> tuple[str, str, list[str]] |
         return "person?", "p|" + " ".join(sorted(people)), []
     short: set[str] = set()
     k = len(people)
-    if 1 < k <= 5:
+    if 1 < k <= SPELT_OUT:
         for mask in range(1, 2**k - 1):
             short.add("p|" + " ".join(sorted(w[0] if mask >> i & 1 else w for i, w in enumerate(people))))
     if k > 2:  # first and last name alone
@@ -156,8 +163,8 @@ def _less_one(key: str):
 def _near(a: DataFrame, b: DataFrame) -> DataFrame:
     """(key, other): keys of ``a(key)`` and ``b(other)`` one typo apart. A bucket holds the spellings that
     differ in one place, so it is as small as the alphabet."""
-    x = a.filter(F.length("key") > 8).select("key", F.explode(_less_one("key")).alias("v"))
-    y = b.filter(F.length("other") > 8).select("other", F.explode(_less_one("other")).alias("v"))
+    x = a.filter(F.length("key") >= TYPO_KEY).select("key", F.explode(_less_one("key")).alias("v"))
+    y = b.filter(F.length("other") >= TYPO_KEY).select("other", F.explode(_less_one("other")).alias("v"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = str.maketrans("", "", " |'")
@@ -169,6 +176,32 @@ def _near(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.mapInPandas(check, "key string, other string")
 
 
+def abbreviates(short: list[str], full: list[str]) -> bool:
+    """Whether every word of ``short`` is a word of ``full`` or the first letter of one, each word used once."""
+    left = list(full)
+    for w in sorted(short, key=len, reverse=True):  # whole words first: an initial may take any that is left
+        hit = w if w in left else next((x for x in left if len(w) == 1 and x[0] == w), None)
+        if hit is None:
+            return False
+        left.remove(hit)
+    return not left
+
+
+def _long_names(short: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, root): names of more than SPELT_OUT words with initials, and the one subject they can stand for."""
+    words = F.split(F.substring("key", 3, 1 << 30), " ")
+    many = lambda df: df.filter(F.col("key").startswith("p|") & (F.size(words) > SPELT_OUT)).withColumn("i", F.array_join(F.array_sort(F.transform(words, lambda w: F.substring(w, 1, 1))), ""))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [abbreviates(a[2:].split(" "), b[2:].split(" ")) for a, b in zip(pdf["key"], pdf["full"])]
+            yield pdf.loc[pd.Series(ok, index=pdf.index, dtype=bool), ["key", "root"]]
+
+    full = many(root.select("key", "root")).select("i", F.col("key").alias("full"), "root")
+    hits = many(short.select("key")).join(full, "i").filter("key <> full").select("key", "full", "root").mapInPandas(check, "key string, root string")
+    return hits.groupBy("key").agg(F.min("root").alias("root"), F.count_distinct("root").alias("k")).filter("k = 1").select("key", "root")
+
+
 def entities(facts: DataFrame) -> DataFrame:
     """(form, entity): each spelling of ``facts(subject_surface_form, subject_type)`` with its subject's full rewriting.
 
@@ -186,10 +219,15 @@ def entities(facts: DataFrame) -> DataFrame:
     better = sized.filter((F.col("on") > F.col("n")) | ((F.col("on") == F.col("n")) & (F.col("other") < F.col("key"))))
     parent = cut(better.groupBy("key").agg(F.max_by("other", F.struct("on", "other")).alias("up")))
     root = full.join(parent, "key", "left").select("key", "n", "short", F.coalesce("up", "key").alias("root"))
-    for _ in range(2):
-        hop = parent.select(F.col("key").alias("root"), F.col("up").alias("above"))
-        root = root.join(hop, "root", "left").select("key", "n", "short", F.coalesce("above", "root").alias("root"))
-    root = cut(root)
+    # every hop leads to a more frequent rewriting, so the chains end
+    hop = parent.select(F.col("key").alias("root"), F.col("up").alias("above"))
+    with written(facts.sparkSession) as keep:
+        while True:
+            step = keep(root.join(hop, "root", "left").select("key", "n", "short", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+            root = step.drop("moved")
+            if step.filter("moved").isEmpty():
+                break
+        root = cut(root)
     # rewritings that may stand for a subject; rarity = subjects behind the rewriting
     rewritings = root.select("root", F.explode("short").alias("r")).distinct()
     rarity = cut(rewritings.groupBy("r").agg(F.count("*").alias("subjects"), F.min("root").alias("root")))
@@ -200,7 +238,8 @@ def entities(facts: DataFrame) -> DataFrame:
     missed = hits.filter("score is null").select("key").join(root.select("key"), "key", "left_anti")
     typo = _near(missed, rarity.filter("subjects = 1").select(F.col("r").alias("other"))).join(rarity.select(F.col("r").alias("other"), "root"), "other")
     typo = typo.groupBy("key").agg(F.min("root").alias("root"), F.count_distinct("root").alias("k")).filter("k = 1")
-    linked = hits.filter("score > 0.5").select("key", "root").unionByName(typo.select("key", "root"))
+    linked = hits.filter("score > 0.5").select("key", "root").unionByName(typo.select("key", "root")).unionByName(_long_names(missed, root))
+    linked = linked.groupBy("key").agg(F.min("root").alias("root"))
     linked = cut(linked.select("key", F.col("root").alias("longer")))
     table = root.select("key", "root").join(linked, "key", "full").select("key", F.coalesce("longer", "root").alias("root"))
     # typos of a two-word name follow it to the longer name

@@ -59,8 +59,10 @@ def test_subject_pairs(spark):
         ["Dorvane Freightways Limited", "Dorvane Frtways Ltd.", "Dοrvane Ltd", "dorvane freightways"],
         ["Theodore Femimifene", "Ted Femimifene", "T. Femimifene", "Femimifene, Theo", "Teodore Femimifene"],
         ["Robert Femimifene"],
+        ["Ravi Kumar Mohan Lal Das Gupta", "R. K. M. L. D. Gupta", "Gupta, Ravi K. Mohan L. D."], ["Ravi Kumar Mohan Lal Das Gadgil"],
         ["Patricia Nicholas Nurutuzushu", "Nurutuzushu Patricia", "Pat N. Nurutuzushu"],
     ]
+    assert names.abbreviates(["g", "g", "gupta"], ["gupta", "gopal", "gita"]) and not names.abbreviates(["g", "h"], ["gita", "gupta"]) and not names.abbreviates(["g"], ["gita", "gupta"])
     rows = [(f, "organisation" if i < 3 else "person") for i, g in enumerate(groups) for f in g] + [(g[0], None) for g in groups for _ in range(3)]
     rows += [("the Company", None), ("your Company", "organisation"), (None, None), ("", None), ("Gumechu Pelu LLP", "organisation"), ("​", None)]
     df = spark.createDataFrame(rows, "subject_surface_form string, subject_type string")
