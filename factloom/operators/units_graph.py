@@ -73,10 +73,12 @@ def stated(sentence: Column) -> Column:
 
 
 def _claims(facts: DataFrame) -> DataFrame:
-    """(id, block_id, char_start, char_end, doc_id, claim_key, given, number, w_raw, w_unit, w_currency, w_scale,
+    """(id, block_id, char_start, char_end, doc, claim, given, number, w_raw, w_unit, w_currency, w_scale,
     w_quote): numeric facts by id. Wordings are read before repeats are dropped, so that no text is shuffled.
     Each step of the parse is a projection of its own, so no part of it is worked out twice."""
-    own = [c if c in facts.columns else F.lit(None).cast("string").alias(c) for c in ("doc_id", "claim_key")]
+    # what links filings is only compared for equality
+    own = [F.xxhash64(c).alias(a) if c in facts.columns else F.lit(None).cast("long").alias(a) for c, a in (("doc_id", "doc"), ("claim_key", "claim"))]
+    own[1] = F.when(F.col("claim_key").isNotNull(), own[1]).alias("claim") if "claim_key" in facts.columns else own[1]
     f = facts.filter("fact_type = 'numeric' and id is not null").select(
         "id", "block_id", "quote", "char_start", "char_end", *own, F.col("value_number").alias("given"),
         squash(plain(F.col("value_raw"))).alias("raw"),
@@ -118,60 +120,58 @@ def _anchors(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     return listed, standard.join(listed, ["w", "slot"], "left_anti")
 
 
-def _conversions(codes: DataFrame) -> Column:
-    """Every ratio between two codes of one kind (the list of units is a fixed table of a few rows)."""
-    by_kind: dict[str, set[float]] = {}
-    for r in codes.select("kind", "factor").distinct().collect():
-        by_kind.setdefault(r["kind"], set()).add(r["factor"])
-    ratios = sorted({1.0} | {float(f"{x / y:.9g}") for fs in by_kind.values() for x in fs for y in fs} | {1 / f for f in by_kind.get("scale", ())})
-    return F.array(*map(F.lit, ratios))
+def _conversions(codes: DataFrame) -> list[tuple[str, float, str]]:
+    """(code, factor, to): every pair of codes of one kind, ``to`` being ``factor`` times as large. The list of units is a
+    fixed table of a few rows; a scale may also stand beside no scale, whose code is empty."""
+    rows = [(r["code"], r["kind"], r["factor"]) for r in codes.collect()] + [("", "scale", 1.0)]
+    return sorted((x, float(f"{g / f:.12g}"), y) for x, k, f in rows for y, j, g in rows if k == j)
 
 
-def _snapped_edges(seen: DataFrame, keys: list[str], codes: DataFrame, least: int = 1) -> DataFrame:
+def _snapped_edges(seen: DataFrame, keys: list[str], ratios: list[float]) -> DataFrame:
     """(keys, n, factor) of ``seen(keys, x, y)``: robust scale of y against x, and offset, both snapped."""
-    close = lambda f: F.abs(F.col("ratio") / f - 1) < CLOSE
     seen = seen.filter("x <> 0 and y <> 0").withColumn("ratio", F.col("y") / F.col("x"))
-    e = seen.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("ratio", 0.5, 1000).alias("ratio")).filter(F.col("n") >= least)
-    e = e.withColumn("factor", F.try_element_at(F.filter(_conversions(codes), close), F.lit(1))).filter("factor is not null").drop("ratio")
+    e = seen.groupBy(*keys).agg(F.percentile_approx("ratio", 0.5, 1000).alias("ratio"))
+    near = F.filter(F.array(*map(F.lit, ratios)), lambda f: F.abs(F.col("ratio") / f - 1) < CLOSE)
+    e = e.select(*keys, F.try_element_at(near, F.lit(1)).alias("factor")).filter("factor is not null")
     off = (F.col("y") - F.col("factor") * F.col("x")) / F.abs("y")
-    back = seen.join(e.withColumnsRenamed({k: f"_{k}" for k in keys}), [seen[k] == F.col(f"_{k}") for k in keys]).withColumn("off", off)
-    fit = back.groupBy(*keys, "n", "factor").agg(F.percentile_approx("off", 0.5, 1000).alias("offset"), F.count_if(F.abs("off") < CLOSE).alias("agreed"))
+    fit = seen.join(e, keys).groupBy(*keys, "factor").agg(F.percentile_approx(off, 0.5, 1000).alias("offset"), F.count_if(F.abs(off) < CLOSE).alias("agreed"), F.count("*").alias("n"))
     return fit.filter((F.abs("offset") < CLOSE) & (F.col("agreed") >= AGREEMENT * F.col("n"))).select(*keys, F.col("agreed").alias("n"), "factor")
 
 
-def field_edges(claims: DataFrame, codes: DataFrame) -> DataFrame:
-    """(w_raw, slot, w, scaled, n, factor): a text's wording and a field's spelling that state one quantity, the number
-    in the text being ``factor`` times the number in the fields. A unit beside a scale must agree as it is, as
-    nobody could tell whose factor it is; a currency converts into none, so its factor is the scale's, also
-    where the fields name no scale (``w`` is then empty). ``scaled``: the fields name a scale."""
-    entry = lambda slot, w: F.struct(F.lit(slot).alias("slot"), w.alias("w"))
-    none = F.when(F.col("w_currency").isNotNull() & F.col("w_scale").isNull(), F.lit(""))
-    named = F.filter(F.array(*[entry(s, F.col(f"w_{s}")) for s in SLOTS], entry("scale", none)), lambda x: x["w"].isNotNull())
-    seen = claims.filter("w_raw is not null and given is not null").select(
-        "w_raw", F.col("w_scale").isNotNull().alias("scaled"), F.col("given").alias("x"), F.col("number").cast("double").alias("y"), F.explode(named).alias("p")
-    )
-    e = _snapped_edges(seen.select("w_raw", "p.slot", "p.w", "scaled", "x", "y"), ["w_raw", "slot", "w", "scaled"], codes)
-    e = e.filter(~((F.col("slot") == "unit") & F.col("scaled") & (F.col("factor") != 1)) & ~((F.col("w") == "") & (F.col("factor") == 1)))
-    return e.select("w_raw", "slot", "w", "scaled", "n", F.when(F.col("slot") == "currency", 1.0).otherwise(F.col("factor")).alias("factor"))
-
+#: The slot of an edge between two wordings of one claim.
+CLAIM = "claim"
 
-def claim_edges(claims: DataFrame, codes: DataFrame) -> DataFrame:
-    """(w_raw, w, n, factor): two wordings of one claim in different filings. Every fact of a claim is linked with
-    the claim's first, so a claim with very many facts makes no pairs among them; a hot claim is salted."""
-    c = claims.filter("claim_key is not null and doc_id is not null and w_raw is not null").select("id", "claim_key", "doc_id", "w_raw", F.col("number").cast("double").alias("y"))
-    own = F.struct(F.col("doc_id").alias("d"), F.col("w_raw").alias("w"), F.col("y").alias("x"))
-    first = c.groupBy("claim_key").agg(F.min_by(own, F.struct("doc_id", "id")).alias("o"))
-    seen = salted_join(c, first, "claim_key", spread="id").filter("doc_id <> o.d and w_raw <> o.w").select("w_raw", "o.w", "o.x", "y")
-    back = seen.select(F.col("w").alias("w_raw"), F.col("w_raw").alias("w"), F.col("y").alias("x"), F.col("x").alias("y"))
-    return _snapped_edges(seen.unionByName(back), ["w_raw", "w"], codes, LEAST_CLAIMS)
 
+def source_edges(claims: DataFrame, ratios: list[float]) -> DataFrame:
+    """(w_raw, slot, w, scaled, n, factor): two sources that state one quantity, the number beside ``w_raw`` being ``factor``
+    times the number beside ``w``.
 
-def _carried(votes: DataFrame, codes: DataFrame, by: Column) -> DataFrame:
-    """``votes(code, ...)`` with the code whose factor is ``by`` times as large; none such: no vote."""
-    c = F.broadcast(codes.select("code", "kind", F.col("factor").alias("f")))
-    t = F.broadcast(codes.select(F.col("code").alias("to"), F.col("kind").alias("k"), F.col("factor").alias("g")))
-    j = votes.withColumn("_by", by).join(c, "code")
-    return j.join(t, (F.col("kind") == F.col("k")) & (F.abs(F.col("g") / (F.col("f") * F.col("_by")) - 1) < CLOSE)).withColumn("code", F.col("to")).drop("kind", "k", "f", "g", "to", "_by")
+    Within a fact, ``w`` is the spelling in the field of the slot (``scaled``: the fields name a scale). A unit beside
+    a scale must agree as it is, as nobody could tell whose factor it is; a currency converts into none, so its
+    factor is the scale's, also where the fields name no scale (``w`` is then empty). Across filings (slot
+    CLAIM), ``w`` is the wording of the same claim in another filing: every fact of a claim is linked with the
+    claim's first, so a claim with very many facts makes no pairs among them."""
+    entry = lambda slot, w: F.struct(F.lit(slot).alias("slot"), w.alias("w"))
+    none = F.when(F.col("w_currency").isNotNull() & F.col("w_scale").isNull(), F.lit(""))
+    named = F.filter(F.array(*[entry(s, F.col(f"w_{s}")) for s in SLOTS], entry("scale", none)), lambda x: x["w"].isNotNull())
+    y = F.col("number").cast("double").alias("y")
+    fields = claims.filter("w_raw is not null and given is not null").select("w_raw", F.explode(named).alias("p"), F.col("w_scale").isNotNull().alias("scaled"), F.col("given").alias("x"), y)
+    fields = fields.select("w_raw", "p.slot", "p.w", "scaled", "x", "y")
+    c = claims.filter("claim is not null and doc is not null and w_raw is not null").select("id", "claim", "doc", "w_raw", y)
+    first = c.groupBy("claim").agg(F.min_by(F.struct(F.col("doc").alias("d"), F.col("w_raw").alias("w"), F.col("y").alias("x")), F.struct("doc", "id")).alias("o"))
+    other = c.join(first, "claim").filter("doc <> o.d and w_raw <> o.w").select("w_raw", "o.w", "o.x", "y")  # a hot claim is split by AQE
+    both = F.inline(F.array(F.struct("w_raw", F.lit(CLAIM).alias("slot"), "w", F.lit(False).alias("scaled"), "x", "y"), F.struct(F.col("w").alias("w_raw"), F.lit(CLAIM).alias("slot"), F.col("w_raw").alias("w"), F.lit(False).alias("scaled"), F.col("y").alias("x"), F.col("x").alias("y"))))
+    e = _snapped_edges(fields.unionByName(other.select(both)), ["w_raw", "slot", "w", "scaled"], ratios)
+    slot, factor = F.col("slot"), F.col("factor")
+    e = e.filter(~((slot == "unit") & F.col("scaled") & (factor != 1)) & ~((F.col("w") == "") & (factor == 1)) & ((slot != CLAIM) | (F.col("n") >= LEAST_CLAIMS)))
+    return e.withColumn("factor", F.when(slot == "currency", 1.0).otherwise(factor))
+
+
+def _carried(votes: DataFrame, conversions: DataFrame, by: Column) -> DataFrame:
+    """``votes(code, ...)`` with the code that is ``by`` times as large; none such: no vote."""
+    v = votes.withColumn("_by", by)
+    close = F.abs(F.col("_by") / F.col("_f") - 1) < CLOSE
+    return v.join(F.broadcast(conversions), (v["code"] == F.col("_c")) & close).withColumn("code", F.col("_t")).drop("_c", "_f", "_t", "_by")
 
 
 def _majority(votes: DataFrame, *keys: str) -> DataFrame:
@@ -180,40 +180,46 @@ def _majority(votes: DataFrame, *keys: str) -> DataFrame:
     return v.groupBy(*keys).agg(F.min_by(F.struct("code", "n", "facts"), F.struct(-F.col("n"), "code")).alias("b")).select(*keys, "b.code", "b.n", "b.facts")
 
 
-def solve_spellings(fields: DataFrame, claims: DataFrame, units: DataFrame) -> DataFrame:
+def solve_spellings(edges: DataFrame, units: DataFrame, conversions: list[tuple[str, float, str]]) -> DataFrame:
     """(side, w, slot, code, n, facts): meanings of the fields' spellings (side ``field``) and of whole texts' wordings
-    (side ``text``), carried along ``field_edges`` and ``claim_edges`` until a round changes none of them.
+    (side ``text``), carried along ``source_edges`` until a round changes none of them. A claim's edge that converts
+    carries to wordings of one slot only.
 
     ``facts`` counts the facts behind the code; it is 0 where only the standard spelling names it."""
     spark = units.sparkSession
-    # the code of "no scale", so that a text's scale can be told from plain numbers in the fields
-    codes = _codes(units).unionByName(spark.createDataFrame([("", "scale", "scale", 1.0)], "code string, slot string, kind string, factor double"))
+    table = spark.createDataFrame(conversions, "_c string, _f double, _t string")
     listed, standard = _anchors(units)
-    fixed = listed.unionByName(spark.createDataFrame([("", "scale", "")], "w string, slot string, code string")).withColumns({"n": F.lit(1).cast("long"), "facts": F.lit(1).cast("long")})
-    prior = standard.withColumns({"n": F.lit(1).cast("long"), "facts": F.lit(0).cast("long")})
-    known, whole, before = fixed.unionByName(prior), None, None
+    one = lambda df, facts: df.withColumns({"n": F.lit(1).cast("long"), "facts": F.lit(facts).cast("long")})
+    # the code of "no scale", so that a text's scale can be told from plain numbers in the fields
+    fixed = one(listed.unionByName(spark.createDataFrame([("", "scale", "")], "w string, slot string, code string")), 1)
+    prior = one(standard, 0)
+    side = lambda df, s: df.select(F.lit(s).alias("side"), "w", "slot", "code", "n", "facts")
     with written(spark) as keep:
+        fixed, prior = keep(fixed), keep(prior)
+        fields, claims = edges.filter(F.col("slot") != CLAIM), edges.filter(F.col("slot") == CLAIM).drop("slot", "scaled")
+        across = not claims.isEmpty()
+        known, whole, before = fixed.unionByName(prior), None, None
         for _ in range(MAX_ROUNDS):
-            votes = _carried(fields.join(known.select("w", "slot", "code"), ["w", "slot"]), codes, 1 / F.col("factor")).select("w_raw", "slot", "code", "n")
-            if whole is not None:
+            votes = _carried(fields.join(known.select("w", "slot", "code"), ["w", "slot"]), table, 1 / F.col("factor")).select("w_raw", "slot", "code", "n")
+            if across and whole is not None:
                 alone = whole.groupBy("w").agg((F.count_if(F.col("slot") != "currency") == 1).alias("alone"))
                 near = claims.join(whole.select("w", "slot", "code"), "w").join(alone, "w").filter("factor = 1 or alone")
                 by = F.when(F.col("slot") == "currency", 1.0).otherwise(1 / F.col("factor"))
-                votes = votes.unionByName(_carried(near, codes, by).select("w_raw", "slot", "code", "n"))
-            texts = _majority(votes.withColumn("facts", F.col("n")), "w_raw", "slot")
+                votes = votes.unionByName(_carried(near, table, by).select("w_raw", "slot", "code", "n"))
+            texts = keep(_majority(votes.withColumn("facts", F.col("n")), "w_raw", "slot"))
             # a field that stands for a scale as well, as the text has one and no field does, is no single spelling
             held = texts.groupBy("w_raw").agg(F.bool_or((F.col("slot") == "scale") & (F.col("code") != "")).alias("held"))
             single = fields.filter("w <> ''").join(held, "w_raw").filter("scaled or not held")
-            learnt = _carried(single.join(texts.select("w_raw", "slot", "code"), ["w_raw", "slot"]), codes, F.col("factor")).select("w", "slot", "code", "n", F.col("n").alias("facts"))
+            learnt = _carried(single.join(texts.select("w_raw", "slot", "code"), ["w_raw", "slot"]), table, F.col("factor")).select("w", "slot", "code", "n", F.col("n").alias("facts"))
             learnt = _majority(learnt.unionByName(prior.select("w", "slot", "code", "n", "facts")), "w", "slot").join(fixed, ["w", "slot"], "left_anti")
-            side = lambda df, s: df.select(F.lit(s).alias("side"), "w", "slot", "code", "n", "facts")
-            both = keep(side(texts.withColumnRenamed("w_raw", "w"), "text").unionByName(side(fixed, "field")).unionByName(side(learnt, "field")))
-            known, whole = both.filter("side = 'field'").drop("side"), both.filter("side = 'text'").drop("side")
-            now = tuple(both.agg(F.count("*"), F.sum(F.xxhash64("side", "w", "slot", "code").cast("decimal(38,0)"))).first())
+            whole = texts.withColumnRenamed("w_raw", "w")
+            known = keep(side(fixed, "field").unionByName(side(learnt, "field"))).drop("side")
+            sides = [known, whole] if across else [known]  # texts follow from the fields, and where claims link them from texts
+            now = [tuple(x.agg(F.count("*"), F.sum(F.xxhash64("w", "slot", "code").cast("decimal(38,0)"))).first()) for x in sides]
             if now == before:
-                return cut(both)
+                return cut(side(whole, "text").unionByName(side(known, "field")))
             before = now
-        raise RuntimeError(f"meanings still changed after {MAX_ROUNDS} rounds")
+    raise RuntimeError(f"meanings still changed after {MAX_ROUNDS} rounds")
 
 
 #: What may stand between two spellings.
@@ -240,8 +246,9 @@ def meanings(claims: DataFrame, wordings: DataFrame, units: DataFrame) -> DataFr
     """(w, unit, currency, scale, solved_by): the codes of each distinct wording of ``wordings(w)``: a solved spelling
     of its own, else two of them put together, else what the facts that use the whole wording say.
     ``solved_by`` is ``graph`` where facts are behind every code, ``standard`` where a standard spelling stands alone."""
-    codes = _codes(units)
-    solved = solve_spellings(cut(field_edges(claims, codes)), cut(claim_edges(claims, codes)), units)
+    conversions = _conversions(_codes(units))
+    edges = cut(source_edges(claims, sorted({f for _, f, _ in conversions} | {1.0})))
+    solved = solve_spellings(edges, units, conversions)
     atoms = solved.filter("side = 'field' and w <> ''")
     single = lambda slot: F.when(F.col("slot") == slot, F.col("code")).alias(slot)
     own = wordings.join(atoms, "w").select("w", F.lit(1).alias("way"), *map(single, SLOTS), "n", "facts")
@@ -271,7 +278,8 @@ def to_common_units(facts: DataFrame, blocks: DataFrame, units: DataFrame) -> Da
     needy = c.filter(_bare() & F.col("w_quote").isNull() & F.col("block_id").isNotNull()).select("id", "block_id", "char_start", "char_end")
     text = blocks.select(F.concat("doc_id", F.lit(":p"), "page_no", F.lit(":b"), "block_no").alias("block_id"), "text")
     quoted = stated(F.expr("substring(text, char_start + 1, char_end - char_start + 1)"))
-    cited = salted_join(needy, text, "block_id", spread="id").select("id", quoted.alias("w_block")).filter("w_block is not null").dropDuplicates(["id"])
+    # a block that very many facts cite is split by AQE
+    cited = needy.join(text, "block_id").select("id", quoted.alias("w_block")).filter("w_block is not null").dropDuplicates(["id"])
     c = cut(c.drop("block_id", "char_start", "char_end").join(cited, "id", "left"))
     every = [*names, "w_quote", "w_block"]
     each = cut(c.select(F.explode(F.array(*every)).alias("w")).filter("w is not null").distinct())
