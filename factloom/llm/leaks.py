@@ -32,7 +32,7 @@ ITEM_WINDOWS = 1 << 20
 #: Windows of documents that are embedded at once in a task.
 CHUNK = 1 << 16
 #: Positions of the embedding in a key, keys that are sampled from one walk, and walks at most.
-SAMPLED, PER_WALK, MOST_WALKS = 4, 4, 64
+SAMPLED, PER_WALK, MOST_WALKS = 5, 4, 64
 #: Simulated windows on which the chance of a key to meet is measured.
 SIMULATED = 2000
 _MULTIPLY = np.uint64(0x2545F4914F6CDD1D)
@@ -41,7 +41,7 @@ _MULTIPLY = np.uint64(0x2545F4914F6CDD1D)
 def embed(words: np.ndarray, starts: np.ndarray, window: int, walk: int) -> np.ndarray:
     """PER_WALK keys of each window (keys x windows): hashes of SAMPLED positions of its CGK embedding each."""
     rng = np.random.default_rng(7919 + walk)
-    length = 3 * window
+    length = 2 * window  # where a walk stays on every other word it is through by then, and what follows is the same for all
     wanted = np.zeros((PER_WALK, length), bool)
     for k in range(PER_WALK):
         wanted[k, rng.choice(length, min(SAMPLED, length), replace=False)] = True
@@ -199,10 +199,22 @@ def _near(words: np.ndarray, ends: np.ndarray, p: Passages, known: np.ndarray) -
     return starts[ok], rows[ok]
 
 
+def _banded(x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
+    """Whether so many words of each row of ``x`` stand in ``y`` within ``edits`` places that the rows may be as near as
+    that: every word that is not edited does."""
+    n = x.shape[1]
+    met = x == y
+    for d in range(1, edits + 1):
+        met[:, d:] |= x[:, d:] == y[:, :-d]
+        met[:, :-d] |= x[:, :-d] == y[:, d:]
+    return met.sum(axis=1) >= n - edits
+
+
 def _hits(words: np.ndarray, starts: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index into starts, item, edits) of verified windows."""
     at: list[np.ndarray] = []
     win: list[np.ndarray] = []
+    span = np.arange(p.window)
     for walk, tables in enumerate(p.keys):
         for k, (keys, order) in zip(embed(words, starts, p.window, walk), tables):
             lo = np.searchsorted(keys, k)
@@ -212,14 +224,17 @@ def _hits(words: np.ndarray, starts: np.ndarray, p: Passages) -> tuple[np.ndarra
             n = np.searchsorted(keys, k[some], side="right") - lo[some]
             stops = np.cumsum(n)
             inner = np.arange(int(stops[-1])) - np.repeat(stops - n, n)
-            at.append(np.repeat(some, n))
-            win.append(order[np.repeat(lo[some], n) + inner])
+            a, w = np.repeat(some, n), order[np.repeat(lo[some], n) + inner]
+            for c in range(0, len(a), CHUNK):
+                i, j = a[c : c + CHUNK], w[c : c + CHUNK]
+                ok = _banded(words[starts[i][:, None] + span], p.words[p.starts[j][:, None] + span], p.edits)
+                at.append(i[ok])
+                win.append(j[ok])
     if not at:
         none = np.zeros(0, np.int64)
         return none, none, none
     pair = np.unique(np.concatenate(at) * len(p.starts) + np.concatenate(win))
     a, w = pair // len(p.starts), pair % len(p.starts)
-    span = np.arange(p.window)
     far = np.zeros(len(a), np.int64)
     for c in range(0, len(a), CHUNK):
         x, y = words[starts[a[c : c + CHUNK]][:, None] + span], p.words[p.starts[w[c : c + CHUNK]][:, None] + span]
