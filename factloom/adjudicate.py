@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.keys import pair_id
 from .schema import REASON_CODES, RELATION_TYPES
+from .session import cut
 
 #: prompt -> text; raising, or an empty text, means failure.
 Provider = Callable[[str], str]
@@ -26,8 +27,10 @@ def retry_seconds(message: Column) -> Column:
     return F.when(F.coalesce(h, m, s, ms).isNull(), F.lit(DEFAULT_WAIT)).otherwise(total)
 
 
-def daily_quota(message: Column) -> Column:
-    return message.rlike(r"(?i)\b(?:requests|tokens)\s+per\s+day\b|\((?:rpd|tpd)\)")
+def daily_quota(message: Column, quotas: Column | None = None) -> Column:
+    """Whether a refusal is for the day: by the unit in its message, or by the id of a quota (array of strings)."""
+    by_id = F.coalesce(F.exists(quotas, lambda q: F.lower(q).contains("day")), F.lit(False)) if quotas is not None else F.lit(False)
+    return by_id | message.rlike(r"(?i)\b(?:requests|tokens)\s+per\s+day\b|\((?:rpd|tpd)\)")
 
 
 def cached(requests: DataFrame, cache: DataFrame, provider: Provider, workers: int = WORKERS) -> DataFrame:
@@ -51,15 +54,47 @@ def cached(requests: DataFrame, cache: DataFrame, provider: Provider, workers: i
     return known.unionByName(asked)
 
 
-def narrate(relations: DataFrame, cache: DataFrame, provider: Provider, prompt: Column, version: str = "v1") -> DataFrame:
+def answered(requests: DataFrame, store: str, provider: Provider, workers: int = WORKERS) -> DataFrame:
+    """``cached`` with its cache in the parquet folder ``store``: what the provider answers is stored there before it is
+    returned, so no request is paid for twice; failures are not stored and are asked again next time."""
+    spark = requests.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    schema = "key string, answer string"
+    known = spark.read.schema(schema).parquet(store) if there else spark.createDataFrame([], schema)
+    r = requests.dropDuplicates(["key"])
+    got = cut(cached(r.join(known, "key", "left_anti"), known.limit(0), provider, workers))
+    got.filter("answer is not null").select("key", "answer").write.mode("append").parquet(store)
+    old = known.dropDuplicates(["key"]).join(r.select("key"), "key", "left_semi").select("key", "answer", F.lit(None).cast("string").alias("error"))
+    # a copy of what was there before the append: the folder has grown
+    new = got.select("key").withColumn("_new", F.lit(True))
+    return old.join(new, "key", "left_anti").unionByName(got)
+
+
+def narrate(relations: DataFrame, cache: DataFrame | str, provider: Provider, prompt: Column, version: str = "v1") -> DataFrame:
     """``relations`` with the provider's explanation; type, reason, confidence and adjudicator are not touched.
-    A failure leaves the explanation null and ``explanation_pending`` true."""
+    A failure leaves the explanation null and ``explanation_pending`` true. ``cache`` is a table of answers, or the
+    folder of one, in which new answers are stored."""
     r = relations.withColumn("_key", pair_id(F.col("fact_a_id"), F.col("fact_b_id"), F.lit(version)))
-    got = cached(r.select(F.col("_key").alias("key"), prompt.alias("prompt")), cache, provider)
+    asked = r.select(F.col("_key").alias("key"), prompt.alias("prompt"))
+    got = answered(asked, cache, provider) if isinstance(cache, str) else cached(asked, cache, provider)
     j = r.join(got.select(F.col("key").alias("_key"), "answer"), "_key", "left")
     return j.withColumns({"explanation": F.col("answer"), "explanation_pending": F.col("answer").isNull()}).drop("_key", "answer")
 
 
+def facts_in_words(side: str) -> Column:
+    """One fact of a relation's detail (columns a_... or b_...) as lines of a prompt."""
+    named = [("Subject", "subject_surface_form"), ("Measure", "measure_surface_form"), ("Value", "value_raw"), ("Quote", "quote")]
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{label}: "), F.coalesce(F.col(f"{side}_{c}").cast("string"), F.lit("unstated"))) for label, c in named])
+
+
+def explanation_prompt() -> Column:
+    """The request to explain a settled verdict, over ``ledger.relation_detail`` with the columns of ``facts_in_words``."""
+    verdict = F.concat_ws(" / ", "type", "reason_code")
+    ask = "Explain in at most two sentences why this settled verdict holds, from the two quotes alone. The verdict itself is not to be changed."
+    return F.concat_ws("\n\n", F.lit(ask), F.concat(F.lit("Verdict: "), verdict), F.concat(F.lit("First fact\n"), facts_in_words("a")), F.concat(F.lit("Second fact\n"), facts_in_words("b")))
+
+
 def adjudicated(relations: DataFrame, answers: DataFrame) -> DataFrame:
     """Verdicts from ``answers(key pair ids fact_a_id, fact_b_id, type, reason_code, explanation)``: only those inside
     the closed vocabularies are taken, marked ``llm`` and without a delta; others leave the rule's verdict."""

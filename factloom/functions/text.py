@@ -44,6 +44,11 @@ def squash(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def plain(c: Column) -> Column:
     """Visually equal text in one spelling: full-width, look-alikes, ligatures, odd spaces, hidden marks.
 

@@ -6,9 +6,14 @@ partitioned by page or document, so a task holds one page or one document's head
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 #: Numeric tokens, scale annotations, limits of the layout rules.
 NUMERIC = r"^[+\-]?[₹$]?\(?[\d,]+(\.\d+)?\)?%?$"
 SCALE_ANNOTATION = r"(?i)\(\s*[₹$]?\s*(?:in\s+)?(?:million|crore|lakh|thousand|billion|%|percent)\s*\)"
@@ -21,19 +26,19 @@ PAGE = ["doc_id", "page_no"]
 
 
 def is_numeric(text: Column) -> Column:
-    return F.trim(text).rlike(NUMERIC)
+    return strip(text).rlike(NUMERIC)
 
 
 def is_heading(text: Column) -> Column:
     """Not blank, short, and not ending like a sentence or a list item; null is no heading."""
-    t = F.trim(text)
+    t = strip(text)
     return F.coalesce((t != "") & (F.length(t) <= HEADING_CHARS) & ~t.rlike(r"[.,;]$"), F.lit(False))
 
 
 def block_text(lines: Column) -> Column:
     """ARRAY<ARRAY<STRING>> spans of lines -> text: spans run together, blank lines dropped, lines joined by a space."""
     joined = F.transform(lines, lambda spans: F.array_join(spans, ""))
-    return F.trim(F.array_join(F.filter(joined, lambda x: F.trim(x) != ""), " "))
+    return strip(F.array_join(F.filter(joined, lambda x: strip(x) != ""), " "))
 
 
 def long_blocks(blocks: DataFrame, least: int = MIN_CHARS) -> DataFrame:
@@ -42,11 +47,11 @@ def long_blocks(blocks: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 
 
 def route_pages(blocks: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """Pages that go to extraction, per filing and route, up to ``max_pages`` where given; slides are left out."""
-    b = blocks.filter("page_type in ('prose', 'table')")
-    if max_pages is not None:
-        b = b.filter(F.col("page_no") <= max_pages)
-    return b.groupBy("doc_id", "page_type").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count("*").alias("blocks"))
+    """(doc_id, route, ...): pages per filing and route, up to ``max_pages`` where given. Prose and table pages go to
+    extraction, slides are only counted (route ``skipped``)."""
+    b = blocks if max_pages is None else blocks.filter(F.col("page_no") <= max_pages)
+    route = F.when(F.col("page_type").isin("prose", "table"), F.col("page_type")).otherwise("skipped").alias("route")
+    return b.groupBy("doc_id", route).agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count("*").alias("blocks"))
 
 
 def opening(blocks: DataFrame, most: int = SAMPLE_CHARS) -> DataFrame:
@@ -75,46 +80,71 @@ def around(text: Column, pattern: str, chars: int, most: int) -> Column:
 def tag_sections(blocks: DataFrame) -> DataFrame:
     """Adds ``section``: the latest heading in document order, the block itself included; none yet gives null."""
     w = Window.partitionBy("doc_id").orderBy("page_no", "block_no").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("section", F.last(F.when(is_heading(F.col("text")), F.trim("text")), ignorenulls=True).over(w))
+    return blocks.withColumn("section", F.last(F.when(is_heading(F.col("text")), strip(F.col("text"))), ignorenulls=True).over(w))
+
+
+def _folded(df: DataFrame, group: list[str], order: list[str], name: str, start: Callable[[], tuple], step: Callable[[tuple, object], tuple], value: Column) -> DataFrame:
+    """Adds INT ``name``, the first of the state after each row: rows of a group are folded in order as they stream past,
+    so a group is never gathered and the fold is linear in it. ``step`` gets the state and the row's ``value``."""
+    v = df.withColumn("_v", value)
+    keep = [*dict.fromkeys([*group, *order])]
+    fields = ", ".join(f"{c} {t}" for c, t in v.select(*keep).dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: object = None
+        state: tuple = start()
+        for pdf in frames:
+            out = []
+            for key, x in zip(zip(*[pdf[c] for c in group]), pdf["_v"]):
+                if key != at:
+                    at, state = key, start()
+                state = step(state, x)
+                out.append(state[0])
+            yield pdf[keep].assign(**{name: pd.Series(out, index=pdf.index, dtype="int32")})
+
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = v.select(*keep, "_v").repartition(n, *group).sortWithinPartitions(*keep).mapInPandas(run, f"{fields}, {name} int")
+    return df.join(rows, keep)
 
 
 def greedy_batches(items: DataFrame, group: list[str], order: list[str], cost: Column, budget: int = BATCH_CHARS, most: int = BATCH_ITEMS) -> DataFrame:
     """Adds ``batch_no`` within each group: a new batch begins where the next item would pass the budget or
-    the batch is full; an item above the budget is a batch of its own.
+    the batch is full; an item above the budget is a batch of its own. ``group`` and ``order`` together are a
+    key of the items and not null."""
 
-    The fold runs over each group's items in order (a document's blocks), as an array of costs only.
-    """
-    w = Window.partitionBy(*group).orderBy(*order)
-    numbered = items.withColumns({"_c": cost.cast("long"), "_i": F.row_number().over(w)})
-    costs = numbered.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda x: x["_c"]).alias("_cs"))
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("n"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+    def step(state: tuple, c: object) -> tuple:
+        batch, total, n = state
+        c = int(c)
+        if n and (total + c > budget or n >= most):
+            return batch + 1, c, 1
+        return batch, total + c, n + 1
+
+    return _folded(items, group, order, "batch_no", lambda: (0, 0, 0), step, F.coalesce(cost, F.lit(0)).cast("long"))
 
-    def step(acc: Column, c: Column) -> Column:
-        fresh = ((acc["n"] > 0) & (acc["total"] + c > budget)) | (acc["n"] >= most)
-        batch = acc["batch"] + fresh.cast("int")
-        return F.struct(
-            F.when(fresh, c).otherwise(acc["total"] + c).alias("total"),
-            F.when(fresh, 1).otherwise(acc["n"] + 1).alias("n"),
-            batch.alias("batch"),
-            F.concat(acc["out"], F.array(batch)).alias("out"),
-        )
 
-    folded = costs.select(*group, F.aggregate("_cs", zero, step)["out"].alias("_b"))
-    return numbered.join(folded, group).withColumn("batch_no", F.element_at("_b", F.col("_i"))).drop("_c", "_i", "_b")
+def cell_batches(cells: DataFrame, budget: int = BATCH_CHARS, most: int = BATCH_ITEMS) -> DataFrame:
+    """``header_cells`` with ``batch_no`` and ``cell_index`` (the place in the batch): cells of a page in reading order."""
+    cost = F.length(F.coalesce("label", F.lit(""))) + F.length(F.coalesce("header", F.lit(""))) + F.length("value") + CELL_COST
+    b = greedy_batches(cells, PAGE, ["row_no", "x0"], cost, budget, most)
+    return b.withColumn("cell_index", F.row_number().over(Window.partitionBy(*PAGE, "batch_no").orderBy("row_no", "x0")) - 1)
 
 
 def cluster_rows(spans: DataFrame, within: list[str]) -> DataFrame:
-    """Adds ``row_no``: spans in (y0, x0) order belong to a row while within ROW_GAP of the row's first span."""
-    item = F.struct("y0", "x0", "span_no")
-    zero = F.struct(F.lit(None).cast("double").alias("head"), F.lit(0).alias("row"), F.array().cast("array<struct<span_no:int,row_no:int>>").alias("out"))
+    """Adds ``row_no``: spans in (y0, x0) order belong to a row while within ROW_GAP of the row's first span. ``within``
+    and the place and number of a span are its key and not null."""
+
+    def step(state: tuple, y: object) -> tuple:
+        row, head = state
+        return (row + 1, y) if head is None or abs(y - head) > ROW_GAP else state
+
+    return _folded(spans.withColumn("span_no", F.col("span_no").cast("int")), within, ["y0", "x0", "span_no"], "row_no", lambda: (0, None), step, F.col("y0"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = acc["head"].isNull() | (F.abs(s["y0"] - acc["head"]) > ROW_GAP)
-        row = acc["row"] + fresh.cast("int")
-        return F.struct(F.when(fresh, s["y0"]).otherwise(acc["head"]).alias("head"), row.alias("row"), F.concat(acc["out"], F.array(F.struct(s["span_no"].cast("int").alias("span_no"), row.alias("row_no")))).alias("out"))
 
-    rows = spans.groupBy(*within).agg(F.aggregate(F.array_sort(F.collect_list(item)), zero, step)["out"].alias("r")).select(*within, F.inline("r"))
-    return spans.withColumn("span_no", F.col("span_no").cast("int")).join(rows, [*within, "span_no"])
+def to_pixels(bbox: Column, page_width: Column, page_height: Column, width: Column, height: Column) -> Column:
+    """STRUCT(x0, y0, x1, y1) in the pixels of a page drawn ``width`` x ``height``; null for a page without a size."""
+    across = F.when(page_width > 0, width / page_width)
+    down = F.when(page_height > 0, height / page_height)
+    return F.struct((bbox["x0"] * across).alias("x0"), (bbox["y0"] * down).alias("y0"), (bbox["x1"] * across).alias("x1"), (bbox["y1"] * down).alias("y1"))
 
 
 def table_rows(spans: DataFrame) -> DataFrame:
@@ -155,9 +185,9 @@ def table_cells(spans: DataFrame) -> DataFrame:
     leftmost text that is no number; rows without a number are none."""
     r = cluster_rows(spans, PAGE)
     r = r.join(r.filter(is_numeric(F.col("text"))).select(*PAGE, "row_no").distinct(), [*PAGE, "row_no"], "left_semi")
-    labels = r.filter(~is_numeric(F.col("text"))).groupBy(*PAGE, "row_no").agg(F.min_by(F.trim("text"), "x0").alias("label"))
+    labels = r.filter(~is_numeric(F.col("text"))).groupBy(*PAGE, "row_no").agg(F.min_by(strip(F.col("text")), "x0").alias("label"))
     cells = r.filter(is_numeric(F.col("text")))
-    return cells.join(labels, [*PAGE, "row_no"], "left").select(*PAGE, "row_no", "label", F.trim("text").alias("value"), "x0", "x1", "y0", "y1")
+    return cells.join(labels, [*PAGE, "row_no"], "left").select(*PAGE, "row_no", "label", strip(F.col("text")).alias("value"), "x0", "x1", "y0", "y1")
 
 
 def _bounds(cells: DataFrame) -> DataFrame:
@@ -181,7 +211,7 @@ def table_headers(spans: DataFrame) -> DataFrame:
     alone = F.count("*").over(row) == 1
     lo = F.when(alone, F.col("x0")).otherwise(F.coalesce((F.lag("x1").over(w) + F.col("x0")) / 2, F.lit(float("-inf"))))
     hi = F.when(alone, F.col("x1")).otherwise(F.coalesce((F.lead("x0").over(w) + F.col("x1")) / 2, F.lit(float("inf"))))
-    return h.withColumns({"lo": lo, "hi": hi}).select(*PAGE, "row_no", F.trim("text").alias("header"), "x0", "x1", "y0", "y1", "lo", "hi")
+    return h.withColumns({"lo": lo, "hi": hi}).select(*PAGE, "row_no", strip(F.col("text")).alias("header"), "x0", "x1", "y0", "y1", "lo", "hi")
 
 
 def header_cells(spans: DataFrame) -> DataFrame:
@@ -204,14 +234,14 @@ def captions(spans: DataFrame) -> DataFrame:
         (F.col("y1") <= F.col("top") + 1) & (F.col("top") - F.col("y1") <= CAPTION_REACH) & (_overlap(F.col("x0"), F.col("x1"), F.col("left"), F.col("right")) > 0)
         & (is_heading(F.col("text")) | F.col("text").rlike(SCALE_ANNOTATION)) & (F.col("y0") < F.col("top"))
     )
-    return c.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", F.trim("text").alias("t")))), lambda x: x["t"]), " — ").alias("caption"))
+    return c.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", strip(F.col("text")).alias("t")))), lambda x: x["t"]), " — ").alias("caption"))
 
 
 def header_qualifiers(header: Column, reporting_period: Column) -> Column:
     """MAP of what a column header says: itself, a consolidation basis, a period label from a bare ``FYdd`` or
     from its year against the document's fiscal year (the same year, or the year before)."""
     basis = F.nullif(F.lower(F.regexp_extract(header, r"(?i)\b(standalone|consolidated)\b", 1)), F.lit(""))
-    stripped = F.trim(header)
+    stripped = strip(header)
     year = F.nullif(F.regexp_extract(header, r"\b((?:19|20)\d{2})\b", 1), F.lit("")).cast("int")
     ends = F.nullif(F.regexp_extract(reporting_period, r"FY\s?(\d{2})\b", 1), F.lit("")).cast("int") + 2000
     label = (
@@ -225,5 +255,5 @@ def header_qualifiers(header: Column, reporting_period: Column) -> Column:
 
 def table_number(raw: Column) -> Column:
     """A cell's number: commas dropped, brackets as minus, a trailing per cent sign dropped; else null."""
-    c = F.regexp_replace(F.regexp_replace(F.translate(F.trim(raw), ",", ""), r"\(", "-"), r"\)", "")
+    c = F.regexp_replace(F.regexp_replace(F.translate(strip(raw), ",", ""), r"\(", "-"), r"\)", "")
     return F.regexp_replace(c, r"%$", "").try_cast("double")

@@ -99,9 +99,11 @@ def fact_period_precedence(spark: SparkSession, root: str) -> DataFrame:
     return o.withColumn("p", periods.fact_period(q)).select("o_orderkey", F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"))
 
 
+_KEY_COLUMNS = ("doc_id", "subject_surface_form", "measure_surface_form", "fact_type", "value_raw", "value_scale", "value_currency", "qualifiers", "validity_start", "validity_end")
+
+
 def _keyed(spark: SparkSession, root: str) -> DataFrame:
-    cols = ("doc_id", "subject_surface_form", "measure_surface_form", "fact_type", "value_raw", "value_scale", "value_currency", "qualifiers", "validity_start", "validity_end")
-    return keys.with_keys(facts(spark, root, *cols).filter("id is not null"))
+    return keys.with_keys(facts(spark, root, *_KEY_COLUMNS).filter("id is not null"))
 
 
 def _stored_keys(spark: SparkSession, root: str) -> DataFrame:
@@ -240,14 +242,37 @@ def _one_reason(reason: str) -> None:
     query(f"WITH {S.facts_cte(_HEADS + _VERDICTS)} SELECT a_id, b_id, type FROM verdicts WHERE reason_code = '{reason}'")(q)
 
 
-for _r in ("TEMPORAL_STATE_CHANGE", "VINTAGE_RESTATEMENT", "SCOPE_MISMATCH", "GEOGRAPHY_MISMATCH", "UNIT_MISMATCH", "ROUNDING_ARTIFACT"):
+for _r in ("TEMPORAL_STATE_CHANGE", "VINTAGE_RESTATEMENT", "SCOPE_MISMATCH", "GEOGRAPHY_MISMATCH", "UNIT_MISMATCH"):
     _one_reason(_r)
 
 
-@query(f"""WITH {S.facts_cte(_HEADS + _VERDICTS)} SELECT a_id, b_id FROM verdicts WHERE type = 'RECONCILED_BY_CONTEXT' AND reason_code = 'UNRESOLVED'
+def _beside(copies: str) -> str:
+    """The common part of the SQL over the facts and one restated copy of each."""
+    base = "(SELECT DISTINCT ON (id) * FROM facts WHERE id IS NOT NULL)"
+    every = f"(SELECT * FROM {base} UNION ALL SELECT * REPLACE (id || '~' AS id, {copies}) FROM {base} WHERE value_number IS NOT NULL)"
+    return S.facts_cte(_HEADS + _VERDICTS).replace("FROM facts WHERE id IS NOT NULL", f"FROM {every} WHERE id IS NOT NULL")
+
+
+def _restated(spark: SparkSession, root: str, **columns) -> DataFrame:
+    """Verdicts over all facts and a copy of each with a number, in which these columns are restated."""
+    f = facts(spark, root, *[c for c in _KEY_COLUMNS], "value_number").filter("id is not null")
+    copies = f.filter("value_number is not null").withColumns({**columns, "id": F.concat("id", F.lit("~"))})
+    k = keys.with_keys(f.unionByName(copies).drop("value_number")).select(*reconcile.SIDE, "claim_key", "loose_key")
+    return reconcile.reconcile(link.find_candidates(cut(k), ["doc_id", "id"], reconcile.SIDE))
+
+
+@query(f"""WITH {_beside("printf('%.6f', value_number * 1.0005) AS value_raw")} SELECT a_id, b_id, type, delta_absolute IS NULL AS no_delta FROM verdicts WHERE reason_code = 'ROUNDING_ARTIFACT'""")
+def verdict_rounding_artifact(spark: SparkSession, root: str) -> DataFrame:
+    """Facts beside copies that state their number half a thousandth larger."""
+    v = _restated(spark, root, value_raw=F.format_string("%.6f", F.col("value_number") * 1.0005)).filter("reason_code = 'ROUNDING_ARTIFACT'")
+    return v.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "type", F.col("delta.absolute").isNull().alias("no_delta"))
+
+
+@query(f"""WITH {_beside("'categorical' AS fact_type, MAP {} AS qualifiers, 'state ' || id AS value_raw")} SELECT a_id, b_id FROM verdicts WHERE type = 'RECONCILED_BY_CONTEXT' AND reason_code = 'UNRESOLVED'
     AND a.fact_type IN ('categorical', 'relational', 'assertion') AND b.fact_type IN ('categorical', 'relational', 'assertion')""")
 def adjudication_queue(spark: SparkSession, root: str) -> DataFrame:
-    v = _verdicts(spark, root)
+    """Pairs that the rules leave open and a judge may settle: the facts beside copies that are categorical and name no period."""
+    v = _restated(spark, root, fact_type=F.lit("categorical"), qualifiers=F.create_map().cast("map<string,string>"), value_raw=F.concat(F.lit("state "), F.col("id")))
     return v.filter(reconcile.needs_adjudication(F.col("type"), F.col("reason_code"), F.col("a.fact_type"), F.col("b.fact_type"))).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
 
@@ -337,6 +362,49 @@ def review_queue(spark: SparkSession, root: str) -> DataFrame:
     return q.orderBy(F.desc_nulls_last("at"), "id").limit(500).select("id", "doc_id", "reason", "score")
 
 
+@query(f"SELECT id, doc_id, value_raw FROM {_F} WHERE id = (SELECT max(id) FROM facts)")
+def get_fact(spark: SparkSession, root: str) -> DataFrame:
+    """Point lookup of one fact (the last by id)."""
+    f = facts(spark, root, "doc_id", "value_raw")
+    return f.filter(F.col("id") == F.lit(f.agg(F.max("id")).first()[0])).select("id", "doc_id", "value_raw")
+
+
+@query("SELECT DISTINCT id, type, reason_code FROM relations WHERE id = (SELECT max(id) FROM relations)")
+def get_relation(spark: SparkSession, root: str) -> DataFrame:
+    r = table(spark, root, "relations").select("id", "type", "reason_code")
+    return r.filter(F.col("id") == F.lit(r.agg(F.max("id")).first()[0])).distinct()
+
+
+@query("SELECT DISTINCT id, reason, score FROM quarantined WHERE doc_id = (SELECT min(doc_id) FROM quarantined)")
+def quarantined_by_doc(spark: SparkSession, root: str) -> DataFrame:
+    q = table(spark, root, "quarantined").select("id", "doc_id", "reason", "score")
+    return q.filter(F.col("doc_id") == F.lit(q.agg(F.min("doc_id")).first()[0])).drop("doc_id").distinct()
+
+
+@query(f"SELECT id, value_raw FROM {_F} WHERE doc_id = (SELECT max(doc_id) FROM facts)")
+def facts_of_doc(spark: SparkSession, root: str) -> DataFrame:
+    f = facts(spark, root, "doc_id", "value_raw").filter("id is not null")
+    return f.filter(F.col("doc_id") == F.lit(f.agg(F.max("doc_id")).first()[0])).select("id", "value_raw")
+
+
+@query("""SELECT doc_id, k AS field, v AS value FROM (SELECT doc_id, unnest(['publisher', 'document_type', 'reporting_period', 'currency', 'scale', 'consolidation', 'geography']) AS k, unnest([publisher, document_type, reporting_period, currency, scale, consolidation, geography]) AS v
+    FROM (SELECT DISTINCT ON (doc_id) * FROM filings ORDER BY doc_id, ingested_at)) WHERE v IS NOT NULL""")
+def document_contexts(spark: SparkSession, root: str) -> DataFrame:
+    """Each filing's context as stored, without the fields that are unknown."""
+    f = table(spark, root, "filings")
+    d = ledger.insert_ignore(f, f.limit(0), ["doc_id"], ["ingested_at"])
+    fields = ("publisher", "document_type", "reporting_period", "currency", "scale", "consolidation", "geography")
+    return d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in fields])).alias("x")).select("doc_id", "x.*").filter("value is not null")
+
+
+@query("SELECT id, doc_id FROM quarantined WHERE id NOT IN (SELECT id FROM quarantined WHERE doc_id IN (SELECT doc_id FROM filings WHERE currency = 'INR') AND id IS NOT NULL) GROUP BY ALL")
+def insert_ignored(spark: SparkSession, root: str) -> DataFrame:
+    """What is left to append of all quarantined proposals where those of the filings in rupees are stored already."""
+    q = table(spark, root, "quarantined").select("id", "doc_id")
+    stored = q.join(table(spark, root, "filings").filter("currency = 'INR'").select("doc_id"), "doc_id", "left_semi")
+    return ledger.insert_ignore(q, stored, ["id"], ["doc_id"]).select("id", "doc_id")
+
+
 @query("""WITH f AS (SELECT doc_id, count(DISTINCT id) AS facts FROM facts GROUP BY doc_id), q AS (SELECT doc_id, count(DISTINCT id) AS quarantined FROM quarantined GROUP BY doc_id)
     SELECT coalesce(f.doc_id, q.doc_id) AS doc_id, coalesce(facts, 0) AS facts, coalesce(quarantined, 0) AS quarantined FROM f FULL JOIN q ON f.doc_id = q.doc_id""")
 def ingest_counts(spark: SparkSession, root: str) -> DataFrame:
@@ -381,36 +449,27 @@ def sections(spark: SparkSession, root: str) -> DataFrame:
     return layout.tag_sections(blocks(spark, root)).select("doc_id", "page_no", "block_no", "section")
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT doc_id, page_no, block_no, length(text) + 120 AS c, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, block_no) AS i FROM {_B} WHERE length(text) >= 40 AND page_type = 'prose'),
+    r(doc_id, i, page_no, block_no, total, n, batch_no) AS (
+        SELECT doc_id, i, page_no, block_no, c, 1, 0 FROM b WHERE i = 1
+        UNION ALL SELECT b.doc_id, b.i, b.page_no, b.block_no, CASE WHEN r.total + b.c > 3500 OR r.n >= 20 THEN b.c ELSE r.total + b.c END,
+            CASE WHEN r.total + b.c > 3500 OR r.n >= 20 THEN 1 ELSE r.n + 1 END, r.batch_no + (r.total + b.c > 3500 OR r.n >= 20)::INT FROM r JOIN b ON b.doc_id = r.doc_id AND b.i = r.i + 1)
+    SELECT doc_id, page_no, block_no, batch_no FROM r""")
 def batching(spark: SparkSession, root: str) -> DataFrame:
     """Prompt batches of each filing's prose blocks in document order."""
-    b = layout.long_blocks(blocks(spark, root)).filter("page_type = 'prose'")
-    out = layout.greedy_batches(b, ["doc_id"], ["page_no", "block_no"], F.length("text") + layout.BLOCK_COST)
+    b = layout.long_blocks(blocks(spark, root)).filter("page_type = 'prose'").select("doc_id", "page_no", "block_no", F.length("text").alias("n"))
+    out = layout.greedy_batches(b, ["doc_id"], ["page_no", "block_no"], F.col("n") + layout.BLOCK_COST)
     return out.select("doc_id", "page_no", "block_no", "batch_no")
 
 
-@query(f"SELECT doc_id, page_type, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS blocks FROM {_B} WHERE page_type IN ('prose', 'table') AND page_no <= 10 GROUP BY doc_id, page_type")
+@query(f"""SELECT doc_id, CASE WHEN page_type IN ('prose', 'table') THEN page_type ELSE 'skipped' END AS route, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS blocks FROM {_B} GROUP BY 1, 2""")
 def route_pages(spark: SparkSession, root: str) -> DataFrame:
-    """Pages up to a page limit of ten that go to extraction; ``route_all_pages`` has no limit."""
-    return layout.route_pages(blocks(spark, root), 10)
-
-
-@query(f"SELECT doc_id, page_type, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS blocks FROM {_B} WHERE page_type IN ('prose', 'table') GROUP BY doc_id, page_type")
-def route_all_pages(spark: SparkSession, root: str) -> DataFrame:
-    """All pages that go to extraction, per filing and route; slides are left out."""
+    """All pages of each filing by the route they take; slides are skipped and counted."""
     return layout.route_pages(blocks(spark, root))
 
 
-@query(f"SELECT doc_id, left(string_agg(text, chr(10) ORDER BY page_no, block_no), 4000) AS sample FROM {_B} WHERE page_no <= 3 AND text IS NOT NULL GROUP BY doc_id")
-def sample_text(spark: SparkSession, root: str) -> DataFrame:
-    """The opening of each filing within three pages, cut at 4000 characters; ``sample_text_whole`` reads on."""
-    b = blocks(spark, root).filter("page_no <= 3 and text is not null")
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", "block_no", "text")))
-    return b.groupBy("doc_id").agg(F.substring(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n"), 1, 4000).alias("sample"))
-
-
 @query(f"SELECT doc_id, left(string_agg(text, chr(10) ORDER BY page_no, block_no), 4000) AS sample FROM {_B} WHERE text IS NOT NULL GROUP BY doc_id")
-def sample_text_whole(spark: SparkSession, root: str) -> DataFrame:
+def sample_text(spark: SparkSession, root: str) -> DataFrame:
     """The first 4000 characters of each filing, over as many pages as they take, that a context provider reads."""
     return layout.opening(blocks(spark, root))
 
@@ -419,7 +478,14 @@ def sample_text_whole(spark: SparkSession, root: str) -> DataFrame:
 _HINT = r"(?i)[₹$€£]\s*(?:\(?[\d,]+(?:\.\d+)?\)?\s*)?(?:in\s+)?(?:million|mn|crore|cr|lakh|lk|thousand|k|billion|bn)\b"
 
 
-@query()
+_RE2_HINT = S.lit(_HINT.removeprefix("(?i)"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, page_no, block_no, text, list_slice(regexp_extract_all(text, {_RE2_HINT}, 0, 'i'), 1, 3) AS h, regexp_split_to_array(text, {_RE2_HINT}, 'i') AS s FROM {_B} WHERE regexp_matches(text, {_RE2_HINT}, 'i')),
+    u AS (SELECT *, unnest(generate_series(1, len(h))) AS k FROM t),
+    v AS (SELECT *, list_sum(list_transform(list_slice(s, 1, k), lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(list_slice(h, 1, k - 1), lambda x: length(x))), 0)::BIGINT AS at FROM u),
+    w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, block_no, k) AS rn, substring(text, greatest(v.at - 60, 0) + 1, v.at + length(h[k]) + 60 - greatest(v.at - 60, 0)) AS x FROM v)
+    SELECT doc_id, rn, trim(regexp_replace(x, '[\\s\\p{{Z}}]+', ' ', 'g')) AS snippet FROM w WHERE rn <= 3""")
 def scale_hints(spark: SparkSession, root: str) -> DataFrame:
     """The first three currency-and-scale mentions of each filing with 60 characters around."""
     b = blocks(spark, root).filter(F.col("text").rlike(_HINT))
@@ -441,44 +507,81 @@ def page_coverage(spark: SparkSession, root: str) -> DataFrame:
     return layout.coverage(b, pages).select("doc_id", "page_no", F.round("coverage", 6).alias("coverage"))
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT doc_id, page_no, block_no, bbox.y0 AS y0, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY bbox.y0, bbox.x0, block_no) AS i FROM {_B} WHERE bbox IS NOT NULL),
+    r(doc_id, page_no, i, block_no, head, row_no) AS (
+        SELECT doc_id, page_no, i, block_no, y0, 1 FROM b WHERE i = 1
+        UNION ALL SELECT b.doc_id, b.page_no, b.i, b.block_no, CASE WHEN abs(b.y0 - r.head) > 2 THEN b.y0 ELSE r.head END, r.row_no + (abs(b.y0 - r.head) > 2)::INT FROM r JOIN b ON b.doc_id = r.doc_id AND b.page_no = r.page_no AND b.i = r.i + 1)
+    SELECT doc_id, page_no, block_no, row_no FROM r""")
 def page_rows(spark: SparkSession, root: str) -> DataFrame:
     """Blocks of each page clustered into rows by their top edge."""
     b = blocks(spark, root).filter("bbox is not null").select("doc_id", "page_no", F.col("block_no").alias("span_no"), "bbox.y0", "bbox.x0")
     return layout.cluster_rows(b, layout.PAGE).select("doc_id", "page_no", F.col("span_no").alias("block_no"), "row_no")
 
 
-def _figures(spark: SparkSession, root: str, negative: bool = False) -> DataFrame:
-    """Each filing's numeric values of one page as a reconstructable page: subject, two values and headers.
-
-    The tables hold no spans, so a page is laid out from the facts themselves: one row per fact (label and
-    number), under a header row. Numbers below zero are left out unless asked for."""
-    f = facts(spark, root, "doc_id", "fact_type", "measure_surface_form", "value_number", "evidence.page_no").filter("fact_type = 'numeric' and value_number is not null and id is not null and page_no is not null")
-    if not negative:
-        f = f.filter("value_number >= 0")
-    n = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("id"))
-    f = f.withColumn("n", n)
+def _figures(spark: SparkSession, root: str) -> DataFrame:
+    """Each filing's numeric values of one page as a page to rebuild: the tables hold no spans, so one is laid out from
+    the facts themselves. A row per fact: its wording, its number, and where on the page its quote begins; above
+    them two headers that do not stand over the middle of their columns, a scale annotation and a title."""
+    f = facts(spark, root, "doc_id", "fact_type", "measure_surface_form", "value_number", "evidence.page_no", "evidence.char_start").filter("fact_type = 'numeric' and value_number is not null and id is not null and page_no is not null")
+    f = f.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("id")))
     y = F.lit(100.0) + F.col("n") * 12
-    at = lambda k, t, x0, x1, y0: F.struct((F.col("n") * 2 + k).alias("span_no"), t.alias("text"), F.lit(x0).alias("x0"), y0.alias("y0"), F.lit(x1).alias("x1"), (y0 + 8).alias("y1"))
-    cells = f.select("doc_id", "page_no", F.inline(F.array(at(0, F.col("measure_surface_form"), 10.0, 180.0, y), at(1, F.col("value_number").cast("decimal(24,2)").cast("string"), 200.0, 260.0, y))))
-    head = f.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.inline(F.array(F.struct(F.lit(0).alias("span_no"), F.lit("Amount").alias("text"), F.lit(200.0).alias("x0"), F.lit(98.0).alias("y0"), F.lit(260.0).alias("x1"), F.lit(106.0).alias("y1")))))
+
+    def span(no, text, x0, x1, y0):
+        return F.struct(no.cast("int").alias("span_no"), text.alias("text"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), y0.alias("y0"), (y0 + 8).alias("y1"))
+
+    row = F.array(
+        span(F.col("n") * 3, F.col("measure_surface_form"), 10.0, 180.0, y),
+        span(F.col("n") * 3 + 1, F.col("value_number").cast("decimal(24,2)").cast("string"), 200.0, 260.0, y + 1),
+        span(F.col("n") * 3 + 2, F.coalesce("char_start", F.lit(0)).cast("string"), 320.0, 350.0, y + 1.5),
+    )
+    top = F.array(
+        span(F.lit(0), F.lit("Stated"), 195.0, 215.0, F.lit(95.0)), span(F.lit(1), F.lit("At"), 340.0, 360.0, F.lit(95.5)),
+        span(F.lit(2), F.lit("(in million)"), 200.0, 260.0, F.lit(80.0)), span(F.lit(-1), F.lit("Figures of the page"), 200.0, 340.0, F.lit(42.0)),
+    )
+    cells = f.select("doc_id", "page_no", F.inline(row))
+    head = f.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.inline(top))
     return cells.unionByName(head).withColumn("block_no", F.lit(0))
 
 
-@query(f"""SELECT doc_id, page_no, count(*) AS cells, count(*) AS under_header FROM (SELECT *, evidence.page_no AS page_no FROM {_F})
-    WHERE fact_type = 'numeric' AND value_number >= 0 AND page_no IS NOT NULL GROUP BY doc_id, page_no""")
+@query(f"""WITH f AS (SELECT *, evidence.page_no AS page_no, coalesce(evidence.char_start, 0) AS pos, row_number() OVER (PARTITION BY doc_id, evidence.page_no ORDER BY id) AS n FROM {_F}
+        WHERE fact_type = 'numeric' AND value_number IS NOT NULL AND evidence.page_no IS NOT NULL),
+    c AS (SELECT doc_id, page_no, n AS line, measure_surface_form AS m, cast(value_number AS DECIMAL(24,2))::VARCHAR AS value, 230.0 AS mid FROM f
+        UNION ALL SELECT doc_id, page_no, n, measure_surface_form, pos::VARCHAR, 335.0 FROM f)
+    SELECT doc_id, page_no, line, CASE WHEN regexp_matches(trim(m), '^[+-]?[₹$]?\\(?[\\d,]+(\\.\\d+)?\\)?%?$') THEN NULL ELSE trim(m) END AS label, value, CASE WHEN mid <= (215 + 340) / 2 THEN 'Stated' ELSE 'At' END AS header FROM c""")
 def table_cells(spark: SparkSession, root: str) -> DataFrame:
-    """Cells found again from the laid-out pages, and how many got the header above them."""
+    """The cells found again from the laid-out pages, with the label of their row and the header they stand under."""
     c = layout.header_cells(_figures(spark, root))
-    return c.groupBy("doc_id", "page_no").agg(F.count("*").alias("cells"), F.count_if(F.col("header") == "Amount").alias("under_header"))
-
-
-@query(f"""SELECT doc_id, page_no, count(*) AS cells, count(*) AS under_header FROM (SELECT *, evidence.page_no AS page_no FROM {_F})
-    WHERE fact_type = 'numeric' AND value_number IS NOT NULL AND page_no IS NOT NULL GROUP BY doc_id, page_no""")
-def table_cells_signed(spark: SparkSession, root: str) -> DataFrame:
-    """As ``table_cells``, over the numbers of both signs."""
-    c = layout.header_cells(_figures(spark, root, negative=True))
-    return c.groupBy("doc_id", "page_no").agg(F.count("*").alias("cells"), F.count_if(F.col("header") == "Amount").alias("under_header"))
+    # rows are counted from the title: the headers' row and those above come first
+    line = F.dense_rank().over(Window.partitionBy(*layout.PAGE).orderBy("row_no"))
+    return c.select(*layout.PAGE, line.alias("line"), "label", "value", "header")
+
+
+@query(f"""SELECT DISTINCT doc_id, evidence.page_no AS page_no, 'Figures of the page — (in million)' AS caption FROM {_F} WHERE fact_type = 'numeric' AND value_number IS NOT NULL AND evidence.page_no IS NOT NULL""")
+def table_captions(spark: SparkSession, root: str) -> DataFrame:
+    return layout.captions(_figures(spark, root))
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT *, evidence.page_no AS page_no, coalesce(evidence.char_start, 0) AS pos, row_number() OVER (PARTITION BY doc_id, evidence.page_no ORDER BY id) AS n FROM {_F}
+        WHERE fact_type = 'numeric' AND value_number IS NOT NULL AND evidence.page_no IS NOT NULL),
+    l AS (SELECT *, CASE WHEN regexp_matches(trim(measure_surface_form), '^[+-]?[₹$]?\\(?[\\d,]+(\\.\\d+)?\\)?%?$') THEN 0 ELSE coalesce(length(trim(measure_surface_form)), 0) END AS label FROM f),
+    c AS (SELECT doc_id, page_no, n * 2 - 1 AS i, label + 6 + length(cast(value_number AS DECIMAL(24,2))::VARCHAR) + 30 AS c FROM l UNION ALL SELECT doc_id, page_no, n * 2, label + 2 + length(pos::VARCHAR) + 30 FROM l),
+    r(doc_id, page_no, i, total, k, batch_no) AS (
+        SELECT doc_id, page_no, i, c, 1, 0 FROM c WHERE i = 1
+        UNION ALL SELECT c.doc_id, c.page_no, c.i, CASE WHEN r.total + c.c > 3500 OR r.k >= 20 THEN c.c ELSE r.total + c.c END, CASE WHEN r.total + c.c > 3500 OR r.k >= 20 THEN 1 ELSE r.k + 1 END,
+            r.batch_no + (r.total + c.c > 3500 OR r.k >= 20)::INT FROM r JOIN c ON c.doc_id = r.doc_id AND c.page_no = r.page_no AND c.i = r.i + 1)
+    SELECT doc_id, page_no, batch_no, count(*) AS cells FROM r GROUP BY ALL""")
+def cell_batching(spark: SparkSession, root: str) -> DataFrame:
+    """Prompt batches of each page's cells in reading order."""
+    b = layout.cell_batches(layout.header_cells(_figures(spark, root)))
+    return b.groupBy(*layout.PAGE, "batch_no").agg(F.count("*").alias("cells"))
+
+
+@query(f"""SELECT id, evidence.bbox[1].x0 * 1275 / {612.0} AS x0, evidence.bbox[1].y0 * 1650 / {792.0} AS y0, evidence.bbox[1].x1 * 1275 / {612.0} AS x1, evidence.bbox[1].y1 * 1650 / {792.0} AS y1 FROM {_F} WHERE len(evidence.bbox) > 0""")
+def evidence_pixels(spark: SparkSession, root: str) -> DataFrame:
+    """Where each fact's evidence lies on its page as drawn at 150 dots an inch."""
+    f = facts(spark, root, "evidence.bbox").filter("id is not null and size(bbox) > 0")
+    box = layout.to_pixels(F.col("bbox")[0], F.lit(_WIDTH), F.lit(_HEIGHT), F.lit(1275.0), F.lit(1650.0))
+    return f.select("id", box.alias("b")).select("id", *[F.round(f"b.{c}", 9).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 #: Micro-batches that the incremental query makes of the filings.
