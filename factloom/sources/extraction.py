@@ -43,14 +43,15 @@ def parse_responses(responses: DataFrame, text: str = "response") -> DataFrame:
 
 def to_facts(proposals: DataFrame, batch_size: Column) -> DataFrame:
     """Proposals (doc_id, page_no, block_no and the fields of PROPOSAL) as fact rows: blank subjects and indexes
-    outside the batch are dropped; repeated qualifier keys keep their last value."""
+    outside the batch are dropped; repeated qualifier keys keep their last value, and ``period_resolved`` is
+    ``false`` only where it says so."""
     p = proposals.filter((F.trim("subject_surface_form") != "") & F.col("block_index").between(0, batch_size - 1))
     return p.withColumns(
         {
             "block_id": F.concat("doc_id", F.lit(":p"), F.col("page_no").cast("string"), F.lit(":b"), F.col("block_no").cast("string")),
             "subject_canonical_id": canonical_entity(F.col("subject_surface_form")),
             "measure_canonical_id": canonical_measure(F.col("measure_surface_form")),
-            "qualifiers": _last_of_key("qualifiers"),
+            "qualifiers": F.transform_values(_last_of_key("qualifiers"), lambda k, v: F.when(k == "period_resolved", (F.lower(F.trim(v)) != "false").cast("string")).otherwise(v)),
         }
     )
 

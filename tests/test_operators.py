@@ -244,14 +244,15 @@ def test_all_pages_are_read(spark, tmp_path):
     rows = [("d", p, b, f"{p}-{b} " + "w" * 50, "prose") for p in range(1, 100) for b in (0, 1)] + [("s", 30, 0, "short", "table"), ("s", 31, 0, None, "table"), ("s", 1, 0, "slide", "slide")]
     b = spark.createDataFrame(rows, "doc_id string, page_no int, block_no int, text string, page_type string")
     b.write.parquet(str(tmp_path / "blocks.parquet"))
-    got = {r.doc_id: r.sample for r in ledger_queries.sample_text_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.sample for r in ledger_queries.sample_text(spark, str(tmp_path)).collect()}
     assert got == {"d": "\n".join(r[3] for r in rows if r[0] == "d")[:4000], "s": "slide\nshort"} and len(got["d"]) == 4000
-    routed = {r.doc_id: tuple(r)[1:] for r in ledger_queries.route_all_pages(spark, str(tmp_path)).collect()}
-    assert routed == {"d": ("prose", 1, 99, 198), "s": ("table", 30, 31, 2)}
-    assert [tuple(r) for r in layout.route_pages(b, 10).collect()] == [("d", "prose", 1, 10, 20)]
+    routed = {(r.doc_id, r.route): tuple(r)[2:] for r in ledger_queries.route_pages(spark, str(tmp_path)).collect()}
+    assert routed == {("d", "prose"): (1, 99, 198), ("s", "table"): (30, 31, 2), ("s", "skipped"): (1, 1, 1)}
+    assert {tuple(r) for r in layout.route_pages(b, 10).collect()} == {("d", "prose", 1, 10, 20), ("s", "skipped", 1, 1, 1)}
 
 
 def test_negative_numbers_are_cells(spark, tmp_path):
-    rows = [(str(i), "d", "numeric", "Profit", v, (1,)) for i, v in enumerate([5.0, -7.25, 0.0, None])]
-    spark.createDataFrame(rows, "id string, doc_id string, fact_type string, measure_surface_form string, value_number double, evidence struct<page_no:int>").write.parquet(str(tmp_path / "facts.parquet"))
-    assert [tuple(r) for r in ledger_queries.table_cells_signed(spark, str(tmp_path)).collect()] == [("d", 1, 3, 3)]
+    rows = [(str(i), "d", "numeric", "Profit", v, (1, 7)) for i, v in enumerate([5.0, -7.25, 0.0, None])]
+    spark.createDataFrame(rows, "id string, doc_id string, fact_type string, measure_surface_form string, value_number double, evidence struct<page_no:int,char_start:int>").write.parquet(str(tmp_path / "facts.parquet"))
+    got = {(r.line, r.label, r.value, r.header) for r in ledger_queries.table_cells(spark, str(tmp_path)).collect()}
+    assert got == {(n, "Profit", v, "Stated") for n, v in ((1, "5.00"), (2, "-7.25"), (3, "0.00"))} | {(n, "Profit", "7", "At") for n in (1, 2, 3)}

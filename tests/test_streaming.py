@@ -23,14 +23,17 @@ def row(i, raw, doc="d1"):
 def test_incremental_ingest(spark, tmp_path):
     led, src = Ledger(spark, str(tmp_path / "ledger")), str(tmp_path / "in")
     facts(spark, [row("a", "5"), row("b", "5"), row("a", "5")]).write.parquet(src)
-    ingest_stream(spark, src, led, str(tmp_path / "cp")).awaitTermination()
+    stages = []
+    ingest_stream(spark, src, led, str(tmp_path / "cp"), lambda stage, data: stages.append((stage, data))).awaitTermination()
+    assert [x for x, _ in stages] == ["started", "candidates_found", "facts_persisted", "done"] and stages[-1][1] == {"batch": 0, "facts": 2, "relations_by_type": {"CORROBORATES": 1}}
     assert led.read("facts").count() == 2 and led.read("relations").count() == 1
     facts(spark, [row("c", "7", "d2")]).write.mode("append").parquet(src)
     ingest_stream(spark, src, led, str(tmp_path / "cp")).awaitTermination()
     assert led.read("facts").count() == 3
     kinds = {(r.fact_a_id, r.fact_b_id): r.type for r in led.read("relations").collect()}
     assert kinds == {("a", "b"): "CORROBORATES", ("a", "c"): "CONTRADICTS", ("b", "c"): "CONTRADICTS"}
-    ingest_batch(led, facts(spark, [row("c", "7", "d2")]))
+    ingest_batch(led, facts(spark, [row("c", "7", "d2")]), 7, lambda stage, data: stages.append((stage, data)))
+    assert stages[-1] == ("already_ingested", {"batch": 7})
     assert led.read("facts").count() == 3 and led.read("relations").count() == 3
 
 
@@ -115,10 +118,10 @@ def test_provider_failures_and_cache(spark):
 
 
 def test_one_bad_item_rejects_the_response(spark):
-    item = '{"block_index":%d,"subject_surface_form":"%s","measure_surface_form":"m","value_raw":"1","confidence":%s,"evidence_quote":"q","qualifiers":[{"key":"a","value":"1"},{"key":"a","value":"2"}]}'
+    item = '{"block_index":%d,"subject_surface_form":"%s","measure_surface_form":"m","value_raw":"1","confidence":%s,"evidence_quote":"q","qualifiers":[{"key":"a","value":"1"},{"key":"a","value":"2"},{"key":"period_resolved","value":"No"}]}'
     rows = [("ok", f"[{item % (0, 'S', 0.5)},{item % (9, 'S', 0.5)},{item % (0, ' ', 0.5)}]"), ("bad", f"[{item % (0, 'S', 0.5)},{item % (0, 'S', 1.5)}]"), ("junk", "no json")]
     r = parse_responses(spark.createDataFrame(rows, "doc_id string, response string"))
     assert {x.doc_id: x.valid for x in r.collect()} == {"ok": True, "bad": False, "junk": False}
     p = r.select("doc_id", F.lit(1).alias("page_no"), F.lit(2).alias("block_no"), F.inline("facts"))
     f = to_facts(p, F.lit(3)).collect()
-    assert len(f) == 1 and f[0].qualifiers == {"a": "2"} and f[0].block_id == "ok:p1:b2" and f[0].subject_canonical_id == "s"
+    assert len(f) == 1 and f[0].qualifiers == {"a": "2", "period_resolved": "true"} and f[0].block_id == "ok:p1:b2" and f[0].subject_canonical_id == "s"
