@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squash
 from ..operators.skew import salted_join
-from ..session import cut, written
+from ..session import cut
 from .unify import unify
 
 #: Common English and Indian short names and the full name.
@@ -221,13 +221,11 @@ def entities(facts: DataFrame) -> DataFrame:
     root = full.join(parent, "key", "left").select("key", "n", "short", F.coalesce("up", "key").alias("root"))
     # every hop leads to a more frequent rewriting, so the chains end
     hop = parent.select(F.col("key").alias("root"), F.col("up").alias("above"))
-    with written(facts.sparkSession) as keep:
-        while True:
-            step = keep(root.join(hop, "root", "left").select("key", "n", "short", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
-            root = step.drop("moved")
-            if step.filter("moved").isEmpty():
-                break
-        root = cut(root)
+    while True:
+        step = cut(root.join(hop, "root", "left").select("key", "n", "short", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        root = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            break
     # rewritings that may stand for a subject; rarity = subjects behind the rewriting
     rewritings = root.select("root", F.explode("short").alias("r")).distinct()
     rarity = cut(rewritings.groupBy("r").agg(F.count("*").alias("subjects"), F.min("root").alias("root")))
