@@ -60,32 +60,42 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}&]+", " "), " "), lambda w: w != "")
 
 
-def _stems(entries: DataFrame) -> dict[str, str]:
-    """Beginnings of the entries' words of six letters and more -> the word, the shortest where several fit.
+def _stems(entries: DataFrame) -> DataFrame:
+    """(stem, whole): beginnings of the entries' words of six letters and more, and the word; the shortest where several fit.
 
-    For words that a wording cuts short ("exp.", "oper…"). The list's vocabulary is a few hundred words."""
-    out: dict[str, str] = {}
-    words = [r[0] for r in entries.select(F.explode(_words(F.lower("label")))).distinct().collect()]
-    for w in sorted(words, key=lambda x: (len(x), x)):
-        for n in range(2, len(w) if len(w) > 5 else 0):
-            out.setdefault(w[:n], w)
-    return out
+    For words that a wording cuts short ("exp.", "oper…")."""
+    words = entries.select(F.explode(_words(F.lower("label"))).alias("w")).distinct().filter(F.length("w") > 5)
+    cuts = words.select("w", F.explode(F.sequence(F.lit(2), F.length("w") - 1)).alias("n"))
+    return cuts.groupBy(F.substring("w", F.lit(1), F.col("n")).alias("stem")).agg(F.min(F.struct(F.length("w"), "w"))["w"].alias("whole"))
 
 
-def tokens(c: Column, stems: dict[str, str] | None = None) -> Column:
-    """The set of trigrams of the padded words; words cut short by "." or "…" are completed from ``stems``."""
+def spelt_out(c: Column) -> Column:
+    """The words of a wording, common short words spelt out; a word that is cut short keeps one full stop."""
     words = F.create_map(*[F.lit(x) for kv in SHORT_WORDS.items() for x in kv])
     c = F.array_join(F.transform(F.split(c, r"\s+"), lambda w: F.coalesce(words[F.regexp_replace(w, r"\.+$", "")], w)), " ")
-    if stems:
-        table = F.create_map(*[F.lit(x) for kv in sorted(stems.items()) for x in kv])
-        parts = F.split(F.regexp_replace(c, r"(\.{2,}|…)", ". "), r"\s+")
-        done = F.transform(parts, lambda w: F.when(w.endswith("."), F.coalesce(table[F.regexp_replace(w, r"\.+$", "")], w)).otherwise(w))
-        c = F.array_join(done, " ")
+    return F.split(F.regexp_replace(c, r"(\.{2,}|…)", ". "), r"\s+")
+
+
+def completed(forms: DataFrame, stems: DataFrame) -> DataFrame:
+    """(b, c) of the distinct ``forms(b)``: the wording with its cut-short words completed from the stems."""
+    each = forms.select("b", F.posexplode(spelt_out(F.col("b"))).alias("i", "w"))
+    each = each.withColumn("stem", F.when(F.col("w").endswith("."), F.regexp_replace("w", r"\.+$", "")))
+    j = each.join(stems, "stem", "left").select("b", F.struct("i", F.coalesce("whole", "w").alias("w")).alias("x"))
+    return j.groupBy("b").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"]), " ").alias("c"))
+
+
+def tokens(c: Column) -> Column:
+    """The set of trigrams of the padded words."""
     padded = F.transform(_words(c), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     grams = F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
     return F.array_distinct(grams)
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast where a list of so many rows may be."""
+    return F.broadcast(df) if rows <= BROADCAST_ENTRIES else df
+
+
 def _ranked(sets: DataFrame, rarity: DataFrame) -> DataFrame:
     """(k, t: trigrams from rare to common, n) of sets(k, t)."""
     e = sets.select("k", F.explode("t").alias("g")).join(rarity, "g")
@@ -103,19 +113,18 @@ def closest(forms: DataFrame, entries: DataFrame, threshold: float = THRESHOLD)
     An entry may have several labels. Forms below the threshold give no row; equal similarities: the
     smaller entry id. Null and blank forms give no row. ``forms`` must be distinct.
     """
-    stems = _stems(entries)
+    size = entries.limit(BROADCAST_ENTRIES + 1).count()
     entry_rows = entries.filter("label is not null").select("entry", unify("label").alias("u")).select("entry", bare(F.col("u")).alias("b")).distinct()
-    entry_sets = entry_rows.select(F.struct("entry", "b").alias("k"), tokens(F.col("b")).alias("t"))
+    entry_sets = entry_rows.select(F.struct("entry", "b").alias("k"), tokens(F.array_join(spelt_out(F.col("b")), " ")).alias("t"))
     cleaned = forms.filter("form is not null").select("form", unify("form").alias("u")).select("form", bare(F.col("u")).alias("b")).filter("b <> ''")
     cleaned = cut(cleaned)
-    form_sets = cut(cleaned.select("b").distinct().select(F.col("b").alias("k"), tokens(F.col("b"), stems).alias("t")))
+    form_sets = cut(completed(cleaned.select("b").distinct(), _small(_stems(entries), size)).select(F.col("b").alias("k"), tokens(F.col("c")).alias("t")))
     counts = form_sets.select(F.explode("t").alias("g")).groupBy("g").agg(F.count("*").alias("f"))
     listed = entry_sets.select(F.explode("t").alias("g")).groupBy("g").agg(F.count("*").alias("f2"))
     rarity = counts.join(listed, "g", "full").select("g", (F.coalesce("f", F.lit(0)) + F.coalesce("f2", F.lit(0))).alias("f"))
     x = _prefixes(_ranked(form_sets, rarity), threshold)
     y = _prefixes(_ranked(entry_sets, rarity), threshold).select(F.col("k").alias("yk"), F.col("t").alias("yt"), F.col("n").alias("yn"), F.col("p").alias("yp"), "g")
-    if entries.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES:
-        y = F.broadcast(y)
+    y = _small(y, size)
     small, large = F.least("n", "yn"), F.greatest("n", "yn")
     # what both can still share from the shared trigram on, and before it
     room = F.least(F.col("p"), F.col("yp")) + F.least(F.col("n") - F.col("p"), F.col("yn") - F.col("yp"))
@@ -129,7 +138,7 @@ def closest(forms: DataFrame, entries: DataFrame, threshold: float = THRESHOLD)
 def entries_of(measure_list: DataFrame) -> DataFrame:
     """(entry, label): labels, listed other names and the common names of the list's entries."""
     rows = [(k, v) for k, vs in COMMON_NAMES.items() for v in vs]
-    common = measure_list.sparkSession.createDataFrame(rows, "entry string, label string").join(F.broadcast(measure_list.select(F.col("measure_id").alias("entry"))), "entry", "left_semi")
+    common = measure_list.sparkSession.createDataFrame(rows, "entry string, label string").join(measure_list.select(F.col("measure_id").alias("entry")), "entry", "left_semi")
     own = measure_list.select(F.col("measure_id").alias("entry"), F.explode(F.array_union(F.array("label"), F.coalesce("also_known_as", F.array().cast("array<string>")))).alias("label"))
     return own.unionByName(common)
 
@@ -142,7 +151,7 @@ def map_measures(facts: DataFrame, measure_list: DataFrame, threshold: float = T
     forms = f.groupBy("form").agg(F.count("*").alias("n")).select("form")
     exact = measure_list.select(F.col("label").alias("form"), F.col("measure_id").alias("entry"), F.lit(1.0).alias("similarity")).dropDuplicates(["form"])
     forms = cut(forms)
-    rest = closest(forms.join(F.broadcast(exact), "form", "left_anti"), entries_of(measure_list), threshold)
+    rest = closest(forms.join(exact, "form", "left_anti"), entries_of(measure_list), threshold)
     table = cut(exact.unionByName(rest))
     out = salted_join(f, table, "form", "left", spread="id")
     return out.select("id", "form", F.coalesce("entry", F.lit("none")).alias("measure_id"), "similarity")
@@ -150,6 +159,6 @@ def map_measures(facts: DataFrame, measure_list: DataFrame, threshold: float = T
 
 def free_wordings(facts: DataFrame, measure_list: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, measure_id): facts whose wording is no label of the list, each id once."""
-    labels = F.broadcast(measure_list.select(F.col("label").alias("measure_surface_form")).distinct())
+    labels = _small(measure_list.select(F.col("label").alias("measure_surface_form")).distinct(), measure_list.limit(BROADCAST_ENTRIES + 1).count())
     free = facts.join(labels, "measure_surface_form", "left_anti").filter("id is not null and measure_surface_form is not null")
     return map_measures(free, measure_list, threshold).select("id", "measure_id").distinct()
