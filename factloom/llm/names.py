@@ -36,20 +36,21 @@ NICKNAMES = {
     "peter": "pete", "richard": "dick rich rick", "stephen": "steve", "susan": "sue susie", "thomas": "tom tommy", "timothy": "tim", "rajesh": "raj",
     "venkatesh": "venky", "krishnan": "krish", "subramanian": "subbu", "rebecca": "becky", "barbara": "barb", "dorothy": "dot dolly", "catherine": "cathy",
 }
-#: Trade words and how they are shortened.
-TRADES = {
-    "chemicals": "chem chems chemical", "manufacturing": "mfg mfrs manuf manufg mfrg", "industries": "ind inds industry indus", "engineering": "eng engg engrg",
-    "foods": "fds food", "technologies": "tech techs technology tec", "transport": "tpt trans trpt transp", "services": "svc svcs serv servs service",
-    "pharmaceuticals": "pharm pharma pharmas pharmaceutical", "international": "intl int'l int internat", "holdings": "hldg hldgs holding", "infrastructure": "infra infrastr infrast",
-    "logistics": "logis log logs logistic", "freightways": "frtways freightway frtway fwys", "enterprises": "ent entp enterprise", "finance": "fin", "securities": "secs sec",
-    "textiles": "tex textile", "systems": "sys system", "solutions": "soln solns solution", "trading": "trdg", "traders": "trader", "consultants": "consult", "consulting": "",
-    "energy": "", "power": "", "steel": "", "cement": "", "motors": "", "exports": "exp", "imports": "", "electronics": "elec", "construction": "constr const", "constructions": "",
-    "laboratories": "labs lab", "insurance": "ins", "bank": "bk", "shipping": "shpg", "airlines": "", "retail": "", "media": "", "group": "grp", "brothers": "bros", "associates": "assoc assocs",
-}
+#: Trade words. How they are shortened is read off the data (see ``_shortened``).
+TRADES = (
+    "chemicals manufacturing industries engineering foods technologies transport services pharmaceuticals international holdings infrastructure logistics freightways enterprises "
+    "finance securities textiles systems solutions trading traders consultants consulting energy power steel cement motors exports imports electronics construction constructions "
+    "laboratories insurance bank shipping airlines retail media group brothers associates"
+).split()
 #: Titles and legal forms.
 TITLES = "m/s messrs dr prof adv mr mrs ms shri smt sri sir er ca".split()
 LEGAL = "private pvt limited ltd llp inc plc corp co lp gmbh".split()
 SELF = {"company"}
+#: A trade word is shortened to so many letters at least.
+SHORTENED = 2
+#: Brands that must use a shortened trade word beside the full one before it is read so everywhere, and how many such
+#: words are read at most.
+LEAST_BRANDS, LEARNT = 2, 10_000
 #: Words from this length on may be a trade word or legal form with a typo; shorter ones are too often another word.
 TYPO_WORD = 5
 #: Rewritings from this length on (letters and separators) may be each other's typo; shorter ones differ by a letter too easily.
@@ -58,7 +59,7 @@ TYPO_KEY = 9
 #: all their initials and checked word by word, which for so many letters is as rare.
 SPELT_OUT = 5
 _FULL = {n: full for full, ns in NICKNAMES.items() for n in ns.split()}
-_TRADE = {a: full for full, ab in TRADES.items() for a in [full, *ab.split()]}
+_TRADE = {t: t for t in TRADES}
 
 
 def within_one(a: str, b: str) -> bool:
@@ -81,8 +82,8 @@ for _t in TRADES:
         _by_trade_letter.setdefault(_t[0], []).append(_t)
 
 
-def _trade(word: str) -> str | None:
-    full = _TRADE.get(word)
+def _trade(word: str, learnt: dict[str, str]) -> str | None:
+    full = _TRADE.get(word) or learnt.get(word)
     if full is None and len(word) >= TYPO_WORD:
         near = _by_trade_letter.get(word[0], [])
         full = next((t for t in near if within_one(t, word)), None) or next((t for ts in _by_trade_letter.values() for t in ts if within_one(t, word)), None)
@@ -93,13 +94,25 @@ def _is_legal(word: str) -> bool:
     return word in LEGAL or len(word) >= TYPO_WORD and (within_one(word, "limited") or within_one(word, "private"))
 
 
-def rewrite(form: str, kind: str | None = None) -> tuple[str, str, list[str]] | None:
-    """(kind, full rewriting, short rewritings) of one spelling; None where it names nobody.
+def shortens(short: str, full: str) -> bool:
+    """Whether ``short`` is left of ``full`` when letters after the first are left out: "tpt" of "transport"."""
+    if short == full:
+        return True
+    if not SHORTENED <= len(short) < len(full) or short[0] != full[0]:
+        return False
+    rest = iter(full)
+    return all(c in rest for c in short)
+
+
+def rewrite(form: str, kind: str | None = None, learnt: dict[str, str] | None = None) -> tuple[str, str, list[str], list[str]] | None:
+    """(kind, full rewriting, short rewritings, splits) of one spelling; None where it names nobody.
 
     ``form`` has its look-alikes and hidden characters undone. ``kind`` is person or organisation where
     known; otherwise a trade word or legal form makes an organisation. A short spelling (initials, a
-    brand alone) has kind ``person?`` or ``organisation?``.
+    brand alone) has kind ``person?`` or ``organisation?``. The splits of an organisation are its words as a brand
+    and a rest that may be shortened trade words, as ``brand|rest``. ``learnt`` gives shortened trade words.
     """
+    learnt = learnt or {}
     s = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", form)
     s = re.sub(r"\bl\.\s?l\.\s?p\b\.?", "llp", s.lower())
     s = re.sub(r"\(p\)", " pvt ", s).replace("int'l", "intl")
@@ -111,21 +124,22 @@ def rewrite(form: str, kind: str | None = None) -> tuple[str, str, list[str]] |
         words = words[1:]
     body = [w for w in words if not _is_legal(w)] or words
     legal = len(body) < len(words) and (len(words) - len(body) > 1 or any(_is_legal(w) and len(w) > 1 for w in words))
-    trades = [t for t in map(_trade, body) if t]
+    trades = [t for t in (_trade(w, learnt) for w in body) if t]
     if len(words) >= 1 and words[-1] in SELF and words[0] in ("the", "your", "our", "company"):
         return None
     known_first = any(w in NICKNAMES or w in _FULL for w in body)
     if kind == "organisation" or kind is None and (legal or trades or len(body) > 1 and not known_first and all(len(w) > 1 for w in body)):
-        brand = [w for w in body if not _trade(w)]
+        brand = [w for w in body if not _trade(w, learnt)]
         if not brand:
             brand, trades = body, []
         name, trade = "".join(brand), " ".join(trades)
+        splits = [f"{''.join(body[:i])}|{' '.join(body[i:])}" for i in range(1, len(body)) if not all(_trade(w, learnt) for w in body[i:])]
         if not trade:
-            return "organisation?", f"o|{name}|", []
-        return "organisation", f"o|{name}|{trade}", [f"o|{name}|"]
+            return "organisation?", f"o|{name}|", [], splits
+        return "organisation", f"o|{name}|{trade}", [f"o|{name}|"], splits
     people = [_FULL.get(w, w) for w in body]
     if len(people) > 1 and any(len(w) == 1 for w in people):
-        return "person?", "p|" + " ".join(sorted(people)), []
+        return "person?", "p|" + " ".join(sorted(people)), [], []
     short: set[str] = set()
     k = len(people)
     if 1 < k <= SPELT_OUT:
@@ -133,24 +147,35 @@ def rewrite(form: str, kind: str | None = None) -> tuple[str, str, list[str]] |
             short.add("p|" + " ".join(sorted(w[0] if mask >> i & 1 else w for i, w in enumerate(people))))
     if k > 2:  # first and last name alone
         short |= {"p|" + " ".join(sorted(x)) for x in ((people[0], people[-1]), (people[0][0], people[-1]))}
-    return "person", "p|" + " ".join(sorted(people)), sorted(short)
+    return "person", "p|" + " ".join(sorted(people)), sorted(short), []
+
 
+def _parse(learnt: dict[str, str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for form, clean, kind, n in zip(pdf["form"], pdf["clean"], pdf["kind"], pdf["n"]):
+                r = rewrite(clean, kind if isinstance(kind, str) else None, learnt) if isinstance(clean, str) and clean else None
+                if r:
+                    rows.append((form, n, *r))
+            yield pd.DataFrame(rows, columns=["form", "n", "kind", "key", "short", "splits"])
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for form, clean, kind, n in zip(pdf["form"], pdf["clean"], pdf["kind"], pdf["n"]):
-            r = rewrite(clean, kind if isinstance(kind, str) else None) if isinstance(clean, str) and clean else None
-            if r:
-                rows.append((form, n, r[0], r[1], r[2]))
-        yield pd.DataFrame(rows, columns=["form", "n", "kind", "key", "short"])
+    return run
 
 
 def parse_forms(facts: DataFrame) -> DataFrame:
-    """(form, n facts, kind, key, short rewritings) of each distinct spelling of ``facts(subject_surface_form, subject_type)``."""
+    """(form, n facts, kind, key, short rewritings, splits) of each distinct spelling of ``facts(subject_surface_form,
+    subject_type)``: parsed once to see how trade words are shortened, and again knowing that."""
     f = facts.filter("subject_surface_form is not null").groupBy(F.col("subject_surface_form").alias("form")).agg(F.count("*").alias("n"), F.max("subject_type").alias("kind"))
-    f = f.select("form", "n", "kind", squash(unify("form")).alias("clean"))
-    return f.mapInPandas(_parse, "form string, n long, kind string, key string, short array<string>")
+    f = cut(f.select("form", "n", "kind", squash(unify("form")).alias("clean")))
+    schema = "form string, n long, kind string, key string, short array<string>, splits array<string>"
+    pairs = _spelt_out(f.mapInPandas(_parse({}), schema))
+    words = pairs.select("brand", F.explode(F.arrays_zip(F.split("rest", " ").alias("w"), F.split("trades", " ").alias("t"))).alias("x")).filter("x.w <> x.t")
+    votes = words.groupBy("x.w", "x.t").agg(F.count_distinct("brand").alias("n")).filter(F.col("n") >= LEAST_BRANDS)
+    best = votes.groupBy("w").agg(F.max_by("t", F.struct("n", "t")).alias("t"), F.max("n").alias("n"))
+    # the most used ones; whatever else is shortened still meets its own brand's full name in ``_shortened``
+    learnt = {r["w"]: r["t"] for r in best.orderBy(F.desc("n"), "w").limit(LEARNT).collect()}
+    return f.mapInPandas(_parse(learnt), schema)
 
 
 def _less_one(key: str):
@@ -202,14 +227,37 @@ def _long_names(short: DataFrame, root: DataFrame) -> DataFrame:
     return hits.groupBy("key").agg(F.min("root").alias("root"), F.count_distinct("root").alias("k")).filter("k = 1").select("key", "root")
 
 
+def _spelt_out(forms: DataFrame) -> DataFrame:
+    """(key, full, brand, rest, trades): organisations of ``forms(key, splits)`` whose last words may be shortened trade
+    words of another with the same brand. An equi-join on the brand, then a check word by word."""
+    brand = lambda c, p: F.split(F.col(c), r"\|")[p]
+    own = forms.filter("key like 'o|%'").select("key", "splits")
+    full = own.select(F.col("key").alias("full"), brand("key", 1).alias("brand"), brand("key", 2).alias("trades")).filter("trades <> ''").distinct()
+    split = own.select("key", F.explode("splits").alias("s")).distinct().select("key", brand("s", 0).alias("brand"), brand("s", 1).alias("rest"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pairs = [(a.split(" "), b.split(" ")) for a, b in zip(pdf["rest"], pdf["trades"])]
+            yield pdf[pd.Series([len(a) == len(b) and all(map(shortens, a, b)) for a, b in pairs], index=pdf.index, dtype=bool)]
+
+    hits = split.join(full, "brand").filter("key <> full").select("key", "full", "brand", "rest", "trades")
+    return hits.mapInPandas(check, "key string, full string, brand string, rest string, trades string")
+
+
+def _shortened(keys: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, root): organisations whose last words are shortened trade words of one subject of the same brand."""
+    hits = _spelt_out(keys).join(root.select(F.col("key").alias("full"), "root"), "full")
+    return hits.groupBy("key").agg(F.min("root").alias("root"), F.count_distinct("root").alias("k")).filter("k = 1").select("key", "root")
+
+
 def entities(facts: DataFrame) -> DataFrame:
     """(form, entity): each spelling of ``facts(subject_surface_form, subject_type)`` with its subject's full rewriting.
 
     Spellings that only say "the/your/our company", and null or blank ones, are left out. A short
     spelling behind which there are two subjects, or none, keeps an entity of its own rewriting.
     """
-    forms = cut(parse_forms(facts))
-    keys = forms.groupBy("key", "kind").agg(F.sum("n").alias("n"), F.first("short").alias("short"))
+    forms = cut(parse_forms(facts))  # parsed spellings
+    keys = forms.groupBy("key", "kind").agg(F.sum("n").alias("n"), F.first("short").alias("short"), F.array_distinct(F.flatten(F.collect_set("splits"))).alias("splits"))
     keys = cut(keys)
     full = cut(keys.filter("kind in ('person', 'organisation')").groupBy("key").agg(F.sum("n").alias("n"), F.first("short").alias("short")))
     rank = lambda p: F.struct(F.col(f"{p}n"), F.col(f"{p}key"))
@@ -237,6 +285,9 @@ def entities(facts: DataFrame) -> DataFrame:
     typo = _near(missed, rarity.filter("subjects = 1").select(F.col("r").alias("other"))).join(rarity.select(F.col("r").alias("other"), "root"), "other")
     typo = typo.groupBy("key").agg(F.min("root").alias("root"), F.count_distinct("root").alias("k")).filter("k = 1")
     linked = hits.filter("score > 0.5").select("key", "root").unionByName(typo.select("key", "root")).unionByName(_long_names(missed, root))
+    # what a shortened trade word spells out goes before what the brand with that word as a part of it may be
+    spelt = cut(_shortened(keys, root))
+    linked = linked.join(spelt, "key", "left_anti").unionByName(spelt)
     linked = linked.groupBy("key").agg(F.min("root").alias("root"))
     linked = cut(linked.select("key", F.col("root").alias("longer")))
     table = root.select("key", "root").join(linked, "key", "full").select("key", F.coalesce("longer", "root").alias("root"))

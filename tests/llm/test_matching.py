@@ -43,7 +43,7 @@ def test_prefix_join_against_brute_force(spark):
 
 
 def test_rewritings():
-    r = names.rewrite
+    r = lambda form: names.rewrite(form, None, {"chems": "chemicals", "chem": "chemicals"})
     assert r("Dr. Liz Gizomoduvo")[1] == r("GIZOMODUVO ELIZABETH")[1] == r("Gizomoduvo, Beth")[1] == "p|elizabeth gizomoduvo"
     assert r("E. Gizomoduvo")[1] in r("Elizabeth Gizomoduvo")[2] and r("E. Gizomoduvo")[0] == "person?"
     assert r("KofanaMeya Chems Limited")[1] == r("Chem. (P) Ltd., Kofana Meya")[1] == r("M/s Kofana-Meya Chemicals L.L.P.")[1] == "o|kofanameya|chemicals"
@@ -52,6 +52,19 @@ def test_rewritings():
     assert names.within_one("abcd", "abdc") and names.within_one("abcd", "abd") and names.within_one("abcd", "abxd") and not names.within_one("abcd", "badc")
 
 
+def test_shortened_trade_words_are_learnt(spark):
+    """No list says what "frwys" or "txtls" stand for: two brands that use it beside the full word do, also for a third
+    whose own name is misspelt; a word that one brand alone has links that brand's own names only."""
+    assert names.shortens("tpt", "transport") and names.shortens("mfg", "manufacturing") and not names.shortens("ptt", "transport") and not names.shortens("t", "transport") and not names.shortens("rans", "transport")
+    groups = [
+        ["Bolari Fenu Freightways Ltd", "Bolari Fenu Frwys"], ["Kesimo Freightways", "Kesimo Frwys Limited"], ["Dorvane Lute Freightways Limited", "Dorvaen Lute Frwys"],
+        ["Zanopi Textiles", "Zanopi Txtls"], ["Zanopi Transport", "Zanopi Trspt Ltd"], ["Zanopi Tls"],
+    ]
+    rows = [(f, "organisation") for g in groups for f in g for _ in range(3 if f == g[0] else 1)]
+    got = {tuple(r) for r in names.spelling_pairs(spark.createDataFrame(rows, "subject_surface_form string, subject_type string")).collect()}
+    assert got == {(a, b) for g in groups[:5] for a in g for b in g if a < b} | {tuple(sorted(("Zanopi Textiles", "Zanopi Tls"))), tuple(sorted(("Zanopi Txtls", "Zanopi Tls")))}
+
+
 def test_subject_pairs(spark):
     groups = [
         ["Gumechu Pelu Chemicals LLP", "GUMECHU PELU CHEM. L.L.P.", "Chemicals LLP, Gumechu Pelu", "Gumehcu Pelu Chemicals LLP", "GumechuPelu Chems"],
