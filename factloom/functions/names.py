@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import compat, let, slug, squash
-from .units import lookup
 
 #: Canonical id and its known spellings.
 ENTITY_ALIASES = {
@@ -23,6 +22,7 @@ MEASURE_ALIASES = {
         "Revenue from customers", "Revenue from customers (A+B)",
     ],
 }
+#: Self-references, one leading honorific, one trailing company suffix.
 SELF_REFERENCES = ["the company", "your company", "our company"]
 HONORIFIC = r"(?i)^(mr|mrs|ms|dr|messrs)\.?\s+"
 SUFFIX = r"(?i)\b(limited|ltd)\.?\s*$"
@@ -34,15 +34,12 @@ def entity_key(form: Column) -> Column:
     return F.lower(squash(F.regexp_replace(c, SUFFIX, "")))
 
 
-def _alias_map(groups: Mapping[str, list[str]], key) -> dict[str, str]:
-    return {key(a): cid for cid, forms in groups.items() for a in forms}
-
-
-def _py_entity_key(s: str) -> str:
-    import re
-
-    s = re.sub(HONORIFIC, "", s.strip())
-    return re.sub(r"\s+", " ", re.sub(SUFFIX, "", s).strip()).lower()
+def _alias(key: Column, groups: Mapping[str, list[str]], rule: Callable[[Column], Column]) -> Column:
+    """The id of the group that has the key among its spellings, keys made by the same rule; none gives null."""
+    found = F.lit(None).cast("string")
+    for cid, forms in groups.items():
+        found = F.when(key.isin([rule(F.lit(f)) for f in forms]), cid).otherwise(found)
+    return found
 
 
 def canonical_entity(form: Column, doc_subject: Column | None = None, aliases: Mapping[str, list[str]] = ENTITY_ALIASES) -> Column:
@@ -53,7 +50,7 @@ def canonical_entity(form: Column, doc_subject: Column | None = None, aliases: M
     else:
         subject = F.when(doc_subject.isin(list(aliases)), doc_subject).otherwise(canonical_entity(doc_subject, None, aliases))
         own = F.coalesce(subject, F.lit("unknown_self_reference"))
-    known = lambda key: F.coalesce(lookup(_alias_map(aliases, _py_entity_key), key), slug(key))
+    known = lambda key: F.coalesce(_alias(key, aliases, entity_key), slug(key))
     return let(entity_key(form), lambda key: F.when(key.isin(SELF_REFERENCES), own).otherwise(known(key)))
 
 
@@ -61,16 +58,12 @@ def measure_key(form: Column) -> Column:
     return F.lower(squash(compat(form)))
 
 
-def _measure_aliases() -> dict[str, str]:
-    return _alias_map(MEASURE_ALIASES, lambda s: " ".join(s.split()).lower())
-
-
 def canonical_measure(form: Column) -> Column:
     """Alias id, else slug; null gives null, blank gives ``unknown_measure``."""
-    return let(measure_key(form), lambda key: F.coalesce(lookup(_measure_aliases(), key), slug(key, "unknown_measure")))
+    return let(measure_key(form), lambda key: F.coalesce(_alias(key, MEASURE_ALIASES, measure_key), slug(key, "unknown_measure")))
 
 
 def aliased_not_identical(a: Column, b: Column) -> Column:
     """True where two wordings share an alias group and are not the same text; never null."""
     ka, kb = measure_key(a), measure_key(b)
-    return F.coalesce((ka != kb) & (lookup(_measure_aliases(), ka) == lookup(_measure_aliases(), kb)), F.lit(False))
+    return F.coalesce((ka != kb) & (_alias(ka, MEASURE_ALIASES, measure_key) == _alias(kb, MEASURE_ALIASES, measure_key)), F.lit(False))

@@ -18,6 +18,7 @@ CURRENCIES = [
     ("₹", "INR"), (r"(?i)\bRs\.?\b", "INR"), (r"(?i)\bINR\b", "INR"), (r"\$", "USD"),
     (r"(?i)\bUSD\b", "USD"), ("€", "EUR"), (r"(?i)\bEUR\b", "EUR"), ("£", "GBP"), (r"(?i)\bGBP\b", "GBP"),
 ]
+#: The first number, per cent and scale words as they are recognised.
 NUMBER = r"\(?-?[\d,]+(?:\.\d+)?\)?"
 PERCENT = r"(?i)%|\bper\s*cent\b|\bpercent\b"
 SCALE = r"(?i)(?<![a-zA-Z])(thousand|billion|million|crore|lakh|bn|cr|mn|k)(?![a-zA-Z])"

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import names, units
 from ..functions.text import LIGATURES, SPACES, WIDE
 from ..functions.periods import COUNTS, MONTHS
 
 
+def _plain_entity(s: str) -> str:
+    """The entity key of the plain spellings in the alias table, for the other engine's side of the comparison."""
+    s = re.sub(names.HONORIFIC, "", s.strip())
+    return re.sub(r"\s+", " ", re.sub(names.SUFFIX, "", s).strip()).lower()
+
+
+def _spellings(groups: dict[str, list[str]], key) -> dict[str, str]:
+    return {key(form): cid for cid, forms in groups.items() for form in forms}
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -43,7 +55,7 @@ def entity_key(e: str) -> str:
 
 def entity(e: str) -> str:
     key = entity_key(e)
-    aliases = names._alias_map(names.ENTITY_ALIASES, names._py_entity_key)
+    aliases = _spellings(names.ENTITY_ALIASES, _plain_entity)
     return f"CASE WHEN {key} IN ({', '.join(map(lit, names.SELF_REFERENCES))}) THEN 'unknown_self_reference' ELSE coalesce({case_map(key, aliases)}, {slug(key, 'unknown')}) END"
 
 
@@ -53,11 +65,11 @@ def measure_key(e: str) -> str:
 
 def measure(e: str) -> str:
     key = measure_key(e)
-    return f"coalesce({case_map(key, names._measure_aliases())}, {slug(key, 'unknown_measure')})"
+    return f"coalesce({case_map(key, _spellings(names.MEASURE_ALIASES, lambda x: " ".join(x.split()).lower()))}, {slug(key, 'unknown_measure')})"
 
 
 def alias_group(e: str) -> str:
-    return case_map(measure_key(e), names._measure_aliases())
+    return case_map(measure_key(e), _spellings(names.MEASURE_ALIASES, lambda x: " ".join(x.split()).lower()))
 
 
 def qualifier(e: str) -> str:
