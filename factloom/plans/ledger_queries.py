@@ -210,17 +210,20 @@ _VERDICTS = f""", {_EFFECTIVE.strip()}, s AS (SELECT {_SIDE}, ev.id IS NOT NULL
     verdicts AS (SELECT a_id, b_id, match_level, a, b, split_part(v, '/', 1) AS type,
         CASE WHEN v LIKE 'CORROBORATES%' AND {S.measure_key('a.measure_surface_form')} <> {S.measure_key('b.measure_surface_form')} AND {S.alias_group('a.measure_surface_form')} = {S.alias_group('b.measure_surface_form')} THEN 'SCALE_NORMALIZED' ELSE split_part(v, '/', 2) END AS reason_code,
         {"CASE split_part(v, '/', 2) " + " ".join(f"WHEN {S.lit(k)} THEN {c}::DOUBLE" for k, c in reconcile.CONFIDENCE.items()) + " ELSE 0.7::DOUBLE END"} AS confidence,
-        CASE WHEN numeric AND a.parsed AND b.parsed AND (v LIKE 'CORROBORATES%' OR v LIKE 'CONTRADICTS%') THEN a.base_value - b.base_value END AS delta_absolute FROM y)"""
+        CASE WHEN numeric AND a.parsed AND b.parsed AND (v LIKE 'CORROBORATES%' OR v LIKE 'CONTRADICTS%') THEN a.base_value - b.base_value END AS delta_absolute,
+        CASE WHEN numeric AND a.parsed AND b.parsed AND (v LIKE 'CORROBORATES%' OR v LIKE 'CONTRADICTS%') THEN rel END AS delta_relative, sha256(a_id || '|' || b_id) AS relation_id FROM y)"""
 
 
 def _verdicts(spark: SparkSession, root: str) -> DataFrame:
     return reconcile.reconcile(_pairs(spark, root))
 
 
-@query(f"WITH {S.facts_cte(_HEADS + _VERDICTS)} SELECT a_id, b_id, match_level, type, reason_code, confidence, delta_absolute FROM verdicts")
+@query(f"WITH {S.facts_cte(_HEADS + _VERDICTS)} SELECT a_id, b_id, relation_id, match_level, type, reason_code, confidence, delta_absolute, round(delta_relative, 9) AS delta_relative FROM verdicts")
 def reconcile_verdicts(spark: SparkSession, root: str) -> DataFrame:
     v = _verdicts(spark, root)
-    return v.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "match_level", "type", "reason_code", "confidence", F.col("delta.absolute").alias("delta_absolute"))
+    a, b = F.col("a.id"), F.col("b.id")
+    delta = (F.col("delta.absolute").alias("delta_absolute"), F.round("delta.relative", 9).alias("delta_relative"))
+    return v.select(a.alias("a_id"), b.alias("b_id"), keys.pair_id(a, b).alias("relation_id"), "match_level", "type", "reason_code", "confidence", *delta)
 
 
 @query(f"WITH {S.facts_cte(_HEADS + _VERDICTS)} SELECT type, reason_code, count(*) AS n FROM verdicts GROUP BY ROLLUP (type, reason_code)")
@@ -449,12 +452,14 @@ def sections(spark: SparkSession, root: str) -> DataFrame:
     return layout.tag_sections(blocks(spark, root)).select("doc_id", "page_no", "block_no", "section")
 
 
-@query(f"""WITH RECURSIVE b AS (SELECT doc_id, page_no, block_no, length(text) + 120 AS c, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, block_no) AS i FROM {_B} WHERE length(text) >= 40 AND page_type = 'prose'),
+_PROSE_BATCHES = f"""WITH RECURSIVE b AS (SELECT doc_id, page_no, block_no, length(text) + 120 AS c, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, block_no) AS i FROM {_B} WHERE length(text) >= 40 AND page_type = 'prose'),
     r(doc_id, i, page_no, block_no, total, n, batch_no) AS (
         SELECT doc_id, i, page_no, block_no, c, 1, 0 FROM b WHERE i = 1
         UNION ALL SELECT b.doc_id, b.i, b.page_no, b.block_no, CASE WHEN r.total + b.c > 3500 OR r.n >= 20 THEN b.c ELSE r.total + b.c END,
-            CASE WHEN r.total + b.c > 3500 OR r.n >= 20 THEN 1 ELSE r.n + 1 END, r.batch_no + (r.total + b.c > 3500 OR r.n >= 20)::INT FROM r JOIN b ON b.doc_id = r.doc_id AND b.i = r.i + 1)
-    SELECT doc_id, page_no, block_no, batch_no FROM r""")
+            CASE WHEN r.total + b.c > 3500 OR r.n >= 20 THEN 1 ELSE r.n + 1 END, r.batch_no + (r.total + b.c > 3500 OR r.n >= 20)::INT FROM r JOIN b ON b.doc_id = r.doc_id AND b.i = r.i + 1)"""
+
+
+@query(f"{_PROSE_BATCHES} SELECT doc_id, page_no, block_no, batch_no FROM r")
 def batching(spark: SparkSession, root: str) -> DataFrame:
     """Prompt batches of each filing's prose blocks in document order."""
     b = layout.long_blocks(blocks(spark, root)).filter("page_type = 'prose'").select("doc_id", "page_no", "block_no", F.length("text").alias("n"))
@@ -462,6 +467,12 @@ def batching(spark: SparkSession, root: str) -> DataFrame:
     return out.select("doc_id", "page_no", "block_no", "batch_no")
 
 
+@query(f"{_PROSE_BATCHES} SELECT doc_id, batch_no, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS blocks FROM r GROUP BY doc_id, batch_no")
+def batch_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The pages and blocks that each prose batch covers."""
+    return batching(spark, root).groupBy("doc_id", "batch_no").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count("*").alias("blocks"))
+
+
 @query(f"""SELECT doc_id, CASE WHEN page_type IN ('prose', 'table') THEN page_type ELSE 'skipped' END AS route, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS blocks FROM {_B} GROUP BY 1, 2""")
 def route_pages(spark: SparkSession, root: str) -> DataFrame:
     """All pages of each filing by the route they take; slides are skipped and counted."""
