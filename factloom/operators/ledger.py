@@ -61,7 +61,8 @@ class Ledger:
             stored = self.read("facts")
             if old is None and stored is not None:  # a ledger from before keys were kept
                 out = out.unionByName(with_keys(stored).select(*self.KEYS).join(out.select("id"), "id", "left_anti"))
-            out = out.withColumn("part", self.part())
+            # one file for each part of a batch, and more for one that a hot key fills
+            out = out.withColumn("part", self.part()).hint("rebalance", "part")
             out.write.mode("append").partitionBy("part").parquet(self.path(name))
         else:
             out.write.mode("append").parquet(self.path(name))
