@@ -229,18 +229,20 @@ def _long_names(short: DataFrame, root: DataFrame) -> DataFrame:
 
 def _spelt_out(forms: DataFrame) -> DataFrame:
     """(key, full, brand, rest, trades): organisations of ``forms(key, splits)`` whose last words may be shortened trade
-    words of another with the same brand. An equi-join on the brand, then a check word by word."""
+    words of another with the same brand. An equi-join on the brand and the words' first letters, which shortening keeps,
+    so a brand of very many names makes no pairs of all of them; then a check word by word."""
     brand = lambda c, p: F.split(F.col(c), r"\|")[p]
+    letters = lambda c: F.array_join(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 1)), "")
     own = forms.filter("key like 'o|%'").select("key", "splits")
-    full = own.select(F.col("key").alias("full"), brand("key", 1).alias("brand"), brand("key", 2).alias("trades")).filter("trades <> ''").distinct()
-    split = own.select("key", F.explode("splits").alias("s")).distinct().select("key", brand("s", 0).alias("brand"), brand("s", 1).alias("rest"))
+    full = own.select(F.col("key").alias("full"), brand("key", 1).alias("brand"), brand("key", 2).alias("trades")).filter("trades <> ''").distinct().withColumn("i", letters("trades"))
+    split = own.select("key", F.explode("splits").alias("s")).distinct().select("key", brand("s", 0).alias("brand"), brand("s", 1).alias("rest")).withColumn("i", letters("rest"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pairs = [(a.split(" "), b.split(" ")) for a, b in zip(pdf["rest"], pdf["trades"])]
             yield pdf[pd.Series([len(a) == len(b) and all(map(shortens, a, b)) for a, b in pairs], index=pdf.index, dtype=bool)]
 
-    hits = split.join(full, "brand").filter("key <> full").select("key", "full", "brand", "rest", "trades")
+    hits = split.join(full, ["brand", "i"]).filter("key <> full").select("key", "full", "brand", "rest", "trades")
     return hits.mapInPandas(check, "key string, full string, brand string, rest string, trades string")
 
 
