@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 Ask = Callable[[str, str], str]
 #: Attempts of one call, the first and longest wait in seconds, the rest of a key whose message names none.
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT, DEFAULT_REST = 6, 2.0, 60.0, 60.0
+#: How messages name a limit for the day, and a wait.
 _DAY = re.compile(r"\b(?:requests|tokens)\s+per\s+day\b|\((?:rpd|tpd)\)", re.IGNORECASE)
 _REST = re.compile(r"try again in\s+((?:\d+h)?(?:\d+m(?!s))?(?:[\d.]+s)?(?:\d+ms)?)", re.IGNORECASE)
 _UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001}
