@@ -1,8 +1,8 @@
 """Subject areas of documents by a distributed latent Dirichlet topic model.
 
-Variational Bayes with a symmetric prior on a bounded sample of documents: every pass computes, in the
-tasks, the documents' topic proportions and adds up the expected term counts of each topic; only those
-sums (topics x terms, fixed by the parameters) come back. Topics start from the term counts of labelled
+Variational Bayes with a symmetric prior on all documents: every pass computes, in the tasks, the
+documents' topic proportions and adds up the expected term counts of each topic; only those sums (topics x
+terms, fixed by the parameters) come back. Topics start from the term counts of labelled
 documents, as topics of a start without them stay mixed where a language is rare; a few more start from
 the corpus and take up what belongs to no area. The fitted topics are mapped to areas by inspecting their
 top terms against the areas' characteristic terms. Then every document's posterior topic proportions are
@@ -13,7 +13,6 @@ not counted.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +30,6 @@ FREE_TOPICS = 4
 PASSES = 5
 INNER = 6
 ALPHA, ETA = 0.1, 0.05
-#: Documents that the topics are fitted on, about (taken by the hash of their id): the model has TERMS parameters a
-#: topic, whatever the corpus. Term counts, boilerplate and the assignment cover every document.
-FIT_DOCS = 20_000
-#: Labelled rows read at most (by the hash of their document), so the start of the fit has a bounded cost.
-LABELLED = 20_000
 TOP_TERMS = 60
 #: A term starts an area's topic if this share of its labelled use, areas weighing alike, is in the area.
 CONCENTRATED = 0.4
@@ -109,7 +103,7 @@ _BAG = "doc_id long, terms array<short>, lengths array<int>, keys array<long>"
 
 def _bags(quoted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(c, CHUNK) for b in batches for c in range(0, len(b), CHUNK)):
             done = 0
             for part in slices(b.column("text")):
                 ids = b.column("doc_id").slice(done, len(part))
@@ -134,20 +128,22 @@ def _bags(quoted: np.ndarray):
     return run
 
 
-def _flat(pdf: pd.DataFrame, boiler: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, sentence, term) of each word that counts, for a frame of bags."""
-    if not len(pdf):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    terms = np.concatenate(pdf["terms"].to_list()).astype(np.int64)
-    lengths = np.concatenate(pdf["lengths"].to_list()).astype(np.int64)
-    keys = np.concatenate(pdf["keys"].to_list()).astype(np.int64)
-    doc = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["lengths"]])
+def _flat(bags: pa.RecordBatch, boiler: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, sentence, term) of each word that counts, for a batch of bags."""
+    flat = lambda c: bags.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    terms, lengths, keys = flat("terms"), flat("lengths"), flat("keys")
+    doc = np.repeat(np.arange(len(bags)), pa.compute.list_value_length(bags.column("lengths")).to_numpy(zero_copy_only=False))
     sentence = np.repeat(np.arange(len(lengths)), lengths)
     ok = ~np.isin(keys, boiler)[sentence]
     return doc[sentence][ok], sentence[ok], terms[ok]
 
 
+def _distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, uses) of the distinct terms of each document, in order."""
+    pairs, uses = np.unique(doc * TERMS + term, return_counts=True)
+    return pairs // TERMS, pairs % TERMS, uses
+
+
 def boilerplate(bags: DataFrame) -> np.ndarray:
     """Sorted keys of the sentences that stand in more than BOILERPLATE of the otherwise different documents.
 
@@ -183,25 +179,40 @@ def _add_up(parts: DataFrame, rows: int) -> np.ndarray:
     return out
 
 
+def _vectors(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"k": pa.array(range(len(sums)), pa.int32()), "v": [x.tobytes() for x in sums]})
+
+
 def _term_counts(bags: DataFrame, labels: DataFrame, areas: list[str], boiler: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(labelled documents with each term by area, uses of each term in the corpus), in one pass over all documents."""
+    """(labelled documents with each term by area, uses of each term in the corpus), over all documents and labels."""
     index = F.create_map(*[F.lit(x) for i, a in enumerate(areas) for x in (a, i)])
-    by_doc = labels.groupBy("doc_id").agg(F.collect_set(index[F.col("area")]).alias("areas"))  # LABELLED rows at most
+    by_doc = labels.groupBy("doc_id").agg(F.collect_set(index[F.col("area")]).alias("areas"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(areas) + 1, TERMS))
-        for pdf in batches:
-            doc, _, term = _flat(pdf, boiler)
-            sums[-1] += np.bincount(term, minlength=TERMS)
-            mine = [[] if x is None else list(x) for x in pdf["areas"]]
-            marked = np.flatnonzero(np.fromiter(map(len, mine), np.int64, len(mine)) > 0)
-            edge = np.searchsorted(doc, np.stack([marked, marked + 1]))
-            for d, i, j in zip(marked, *edge):
-                sums[np.array(mine[d])[:, None], np.unique(term[i:j])] += 1
-        yield pd.DataFrame({"k": range(len(sums)), "v": [x.tobytes() for x in sums]})
+    def corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((1, TERMS))
+        for b in batches:
+            for _, _, _, term in _chunks(b, boiler):
+                sums[0] += np.bincount(term, minlength=TERMS)
+        yield _vectors(sums)
 
-    out = _add_up(bags.join(F.broadcast(by_doc), "doc_id", "left").mapInPandas(count, "k int, v binary"), len(areas) + 1)
-    return out[:-1], out[-1]
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, doc, _, term in _chunks(b, boiler):
+                doc, term, _ = _distinct(doc, term)
+                ends = np.searchsorted(doc, np.arange(len(part) + 1))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term, pa.int16()))], names=["doc_id", "terms"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(areas), TERMS))
+        for b in batches:
+            for mine, terms in zip(b.column("areas").to_pylist(), b.column("terms")):
+                sums[np.array(mine)[:, None], terms.values.to_numpy(zero_copy_only=False)] += 1
+        yield _vectors(sums)
+
+    # the labels may be as many as the documents: the planner sees to the join, in which a document is its distinct terms
+    labelled = bags.mapInArrow(distinct, "doc_id long, terms array<short>").join(by_doc, "doc_id")
+    inside = _add_up(labelled.select("areas", "terms").mapInArrow(marked, "k int, v binary"), len(areas))
+    return inside, _add_up(bags.mapInArrow(corpus, "k int, v binary"), 1)[0]
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -216,56 +227,61 @@ def _log_mean(lam: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.exp(_digamma(lam) - _digamma(lam.sum(1))[:, None]).T.astype(np.float32))
 
 
-def infer(doc: np.ndarray, term: np.ndarray, docs: int, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gamma, phi): the variational topic counts of each document, and the topic weights of each word.
+def infer(doc: np.ndarray, term: np.ndarray, uses: np.ndarray, docs: int, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gamma, phi): the variational topic counts of each document, and the topic weights of a use of each of its terms.
 
-    ``doc`` is ascending; ``beta`` is exp E[log topic-term], terms x topics."""
+    ``doc``, ascending, and ``term`` are distinct pairs; ``beta`` is exp E[log topic-term], terms x topics."""
     k = beta.shape[1]
     edge = np.searchsorted(doc, np.arange(docs + 1))
     n = np.diff(edge)
     gamma, phi = np.full((docs, k), ALPHA, np.float32), np.empty((len(term), k), np.float32)
+    theta = np.full((docs, k), 1 / k, np.float32)
     by_length = np.argsort(n, kind="stable")
     by_length = by_length[n[by_length] > 0]
+    groups = []
     for c in range(0, len(by_length), TOGETHER):
         g = by_length[c : c + TOGETHER]
         at = edge[g][:, None] + np.arange(n[g[-1]])
         live = at < edge[g + 1][:, None]
-        b = beta[term[np.minimum(at, len(term) - 1)]] * live[..., None]
-        theta = np.full((len(g), k), 1 / k, np.float32)
-        for i in range(INNER):
-            if i:
-                theta = np.exp(_digamma(gamma[g]) - _digamma(gamma[g].sum(1))[:, None]).astype(np.float32)
-            weight = 1 / np.maximum(np.matmul(b, theta[:, :, None])[..., 0], 1e-30)
-            gamma[g] = ALPHA + theta * np.matmul(weight[:, None, :], b)[:, 0]
-        phi[at[live]] = (theta[:, None, :] * b * weight[..., None])[live]
+        held = np.minimum(at, len(term) - 1)
+        groups.append((g, at[live], live, beta[term[held]], (uses[held] * live).astype(np.float32)))
+    for i in range(INNER):
+        if i:
+            theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1))[:, None]).astype(np.float32)
+        for g, at, live, b, m in groups:
+            weight = 1 / np.maximum(np.matmul(b, theta[g][:, :, None])[..., 0], 1e-30)
+            gamma[g] = ALPHA + theta[g] * np.matmul((m * weight)[:, None, :], b)[:, 0]
+            if i == INNER - 1:
+                phi[at] = (theta[g][:, None, :] * b * weight[..., None])[live]
     return gamma, phi
 
 
-def _chunks(pdf: pd.DataFrame, boiler: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
-    for c in range(0, len(pdf), CHUNK):
-        part = pdf.iloc[c : c + CHUNK]
+def _chunks(bags: pa.RecordBatch, boiler: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    for c in range(0, len(bags), CHUNK):
+        part = bags.slice(c, CHUNK)
         doc, sentence, term = _flat(part, boiler)
         if len(doc):
             yield part, doc, sentence, term
 
 
-def fit(sample: DataFrame, start: np.ndarray, boiler: np.ndarray, passes: int = PASSES) -> np.ndarray:
-    """Topic-term weights (lambda) after ``passes`` of variational Bayes over the sample, under a symmetric
+def fit(bags: DataFrame, start: np.ndarray, boiler: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """Topic-term weights (lambda) after ``passes`` of variational Bayes over all documents, under a symmetric
     Dirichlet prior of each topic's terms."""
     lam = start
     for _ in range(passes):
         beta = _log_mean(lam)
 
-        def step(batches: Iterator[pd.DataFrame], beta: np.ndarray = beta) -> Iterator[pd.DataFrame]:
+        def step(batches: Iterator[pa.RecordBatch], beta: np.ndarray = beta) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(beta.T.shape)
-            for pdf in batches:
-                for part, doc, _, term in _chunks(pdf, boiler):
-                    _, phi = infer(doc, term, len(part), beta)
+            for b in batches:
+                for part, doc, _, term in _chunks(b, boiler):
+                    doc, term, uses = _distinct(doc, term)
+                    _, phi = infer(doc, term, uses, len(part), beta)
                     for k in range(len(sums)):
-                        sums[k] += np.bincount(term, weights=phi[:, k], minlength=TERMS)
-            yield pd.DataFrame({"k": range(len(sums)), "v": [x.tobytes() for x in sums]})
+                        sums[k] += np.bincount(term, weights=phi[:, k] * uses, minlength=TERMS)
+            yield _vectors(sums)
 
-        lam = ETA + _add_up(sample.mapInPandas(step, "k int, v binary"), len(lam))
+        lam = ETA + _add_up(bags.mapInArrow(step, "k int, v binary"), len(lam))
     return lam
 
 
@@ -298,19 +314,22 @@ def _assign(lam: np.ndarray, topic_area: np.ndarray, areas: list[str], boiler: n
     for k in np.flatnonzero(topic_area >= 0):
         of_area[k, topic_area[k]] = 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part, doc, sentence, term in _chunks(pdf, boiler):
-                _, phi = infer(doc, term, len(part), beta)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, doc, sentence, term in _chunks(b, boiler):
+                pair_doc, pair_term, uses = _distinct(doc, term)
+                _, phi = infer(pair_doc, pair_term, uses, len(part), beta)
+                at = np.zeros((len(part), TERMS), np.int32)
+                at[pair_doc, pair_term] = np.arange(len(phi))
                 first = np.flatnonzero(np.diff(sentence, prepend=-1))
-                mass = np.add.reduceat(phi, first, axis=0) @ of_area
+                mass = np.add.reduceat(phi[at[doc, term]], first, axis=0) @ of_area
                 owner, about = doc[first], mass.argmax(1)
                 said = mass.max(1) >= 0.5  # half a word at least
                 counted = np.bincount(owner[said], minlength=len(part))
                 got = np.zeros((len(part), len(areas)))
                 np.add.at(got, (owner[said], about[said]), 1.0)
                 d, a = np.nonzero((got >= share * counted[:, None]) & (got > 0))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[d], "area": np.array(areas, dtype=object)[a], "share": got[d, a] / counted[d]})
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array(np.array(areas, dtype=object)[a], pa.string()), pa.array(got[d, a] / counted[d])], names=["doc_id", "area", "share"])
 
     return run
 
@@ -321,8 +340,8 @@ def subjects(docs: DataFrame, labels: DataFrame, area_list: DataFrame, items: Da
     Boilerplate, headers and quoted test items are not counted, nor sentences whose words the areas' topics do
     not hold; a document without other sentences gets no area. Copies and near copies of one text, however
     many, do not make its sentences boilerplate (see ``boilerplate``). Null texts and ids are left out.
-    ``labels(doc_id, area)`` are read up to ``LABELLED`` rows; unknown areas among them are ignored. The
-    items are a stated set, of which only the hashes of their runs of QUOTED words are kept.
+    The topics are fitted on all documents, from all ``labels(doc_id, area)``; unknown areas among them are
+    ignored. The items are a stated set, of which only the hashes of their runs of QUOTED words are kept.
     """
     areas = sorted(r[0] for r in area_list.select("area").filter("area is not null").distinct().collect())
     runs = [np.zeros(0, np.uint64)]
@@ -331,22 +350,18 @@ def subjects(docs: DataFrame, labels: DataFrame, area_list: DataFrame, items: Da
     d = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bags = cut(d.mapInArrow(_bags(np.unique(np.concatenate(runs))), _BAG))
     boiler = boilerplate(bags)
-    labelled = labels.filter(F.col("area").isin(areas)).select(F.col("doc_id").cast("long").alias("doc_id"), "area").distinct().orderBy(F.xxhash64("doc_id"), "area").limit(LABELLED)
+    labelled = labels.filter(F.col("area").isin(areas)).select(F.col("doc_id").cast("long").alias("doc_id"), "area").distinct()
     inside, corpus = _term_counts(bags, labelled, areas, boiler)
-    total = bags.count()
-    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 32) < F.lit(math.ceil(FIT_DOCS / max(total, 1) * (1 << 32)))
-    sample = cut(bags.filter(part))
-    lam = fit(sample, seeded(inside, corpus, min(1.0, FIT_DOCS / max(total, 1))), boiler, passes)
-    return bags.mapInPandas(_assign(lam, inspect(lam, inside, corpus), areas, boiler, share), "doc_id long, area string, share double")
-
+    lam = fit(bags, seeded(inside, corpus), boiler, passes)
+    return bags.mapInArrow(_assign(lam, inspect(lam, inside, corpus), areas, boiler, share), "doc_id long, area string, share double")
 
-def seeded(labelled: np.ndarray, corpus: np.ndarray, fraction: float = 1.0) -> np.ndarray:
-    """Start of the topics: one for each area from its labelled terms, and FREE_TOPICS of the rest of the corpus.
 
-    ``fraction``: the share of the corpus that will be fitted on, so the start weighs as much as one pass."""
+def seeded(labelled: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    """Start of the topics, which weighs as much as one pass: one for each area from its labelled terms, and
+    FREE_TOPICS of the rest of the corpus."""
     base = (corpus + 1) / (corpus + 1).sum()
     inside = (labelled + base * 50) / (labelled + base * 50).sum(1, keepdims=True)
-    weight = fraction * max(corpus.sum(), 1.0) / (len(labelled) + FREE_TOPICS)
+    weight = max(corpus.sum(), 1.0) / (len(labelled) + FREE_TOPICS)
     # documents of the area among those with the term, less one standard error, so rare terms need more
     sure = (labelled - np.sqrt(labelled)) / np.maximum(labelled.sum(0), 1)
     own = (inside / inside.sum(0) >= CONCENTRATED) & (sure >= SURE)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from factloom.llm import mixing, topics
 
@@ -109,3 +110,35 @@ def test_copies_make_no_boilerplate(spark):
     copy, page = (np.concatenate([r["keys"] for r in bags.filter(f"doc_id = {i}").collect()]) for i in (300, 0))
     boiler = topics.boilerplate(bags)
     assert page[-1] in boiler and copy[-1] == page[-1] and not set(copy[:-1]) & set(boiler)
+
+
+def test_subjects_read_all_labels_and_documents(spark, monkeypatch):
+    """The few documents and labels of one area come last by the hash of their ids, where a bounded number of either would end."""
+    rng, n = random.Random(12), 20_400
+    ids = [r.id for r in spark.range(n).orderBy(F.xxhash64("id")).collect()]
+    truth = {i: "law" if k >= n - 60 else ("food", "sport")[k % 2] for k, i in enumerate(ids)}
+    df = spark.createDataFrame([(i, " ".join(make(rng, [a], 2))) for i, a in truth.items()], "doc_id long, text string")
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, area string")
+    fitted, fit = [], topics.fit
+    monkeypatch.setattr(topics, "fit", lambda *a: fitted.append(fit(*a)) or fitted[0])
+    got = {}
+    for r in topics.subjects(df, labels, spark.createDataFrame([(a, "") for a in AREAS], "area string, description string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.area)
+    for area in AREAS:
+        of = [i for i, a in truth.items() if a == area]
+        assert sum(got.get(i) == {area} for i in of) >= 0.9 * len(of)
+    words = 2 * 11 * n  # of two sentences of eleven words, numbers left out
+    assert abs((fitted[0] - topics.ETA).sum() / words - 1) < 1e-3
+
+
+def test_terms_of_a_document_count_by_their_uses():
+    """Distinct terms with their uses give the expected counts that single words give."""
+    rng = np.random.default_rng(4)
+    doc, term = np.sort(rng.integers(0, 70, 3000)), rng.integers(0, 40, 3000)
+    beta = topics._log_mean(rng.gamma(1, 1, (5, topics.TERMS)) + topics.ETA)
+    d, t, uses = topics._distinct(doc, term)
+    gamma, phi = topics.infer(d, t, uses, 71, beta)
+    one, each = topics.infer(doc, term, np.ones(3000), 71, beta)
+    assert uses.sum() == 3000 and len(d) == len(set(zip(doc, term))) and np.allclose(gamma, one, rtol=1e-3)
+    assert np.allclose([np.bincount(t, phi[:, k] * uses, 40) for k in range(5)], [np.bincount(term, each[:, k], 40) for k in range(5)], rtol=1e-3)
+    assert np.all(gamma[70] == np.float32(topics.ALPHA))
